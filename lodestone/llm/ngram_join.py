@@ -13,9 +13,11 @@ signatures of a set are its segments' sums. Allocation is by cost:
 * A set is indexed in its own band, and in the band below if sets there can be similar to it.
 
 Sets that are equal are one node from the start. Groups of nodes with a signature in common are then checked
-exactly, on whole sets, without making all pairs: in a round each node is checked against one node of another
-component that shares a group with it, and components are put together; what a few rounds leave apart is checked
-pair by pair, as far as sizes allow similarity. No candidate is dropped.
+exactly, on whole sets, without making all pairs: in a round each node is checked against a few nodes of other
+components that share groups with it, the smallest groups first, and components are put together; what the
+rounds leave apart is checked pair by pair. Sizes, and bitmaps in which every shingle turns one of 512 bits (sets
+differ in at least as many shingles as their bitmaps in bits), show before that which pairs can't be similar.
+No candidate is dropped otherwise.
 
 Nulls, empty texts and texts without words have empty sets, and are linked with nothing; texts of fewer words than
 a shingle are one shingle; repeated rows are nodes' copies; an empty table gives no rows; other columns are ignored.
@@ -27,12 +29,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from lodestone.llm.common import Powers, RangeHash, blocks, bounded_batches, byte_table, column_bytes, lower_table, mix, narrow, ship, space_words, words_of, written
 
 WORDS, PERCENT = 5, 80
-#: Rounds with one check a node, before pairs that are left are all checked.
-ROUNDS = 3
+#: Checks of a node in each round, before pairs that are left are all checked.
+ROUNDS = (1, 8)
+#: 64-bit words of a set's bitmap.
+BITS = 8
 SMALL = 2
 _G = np.uint64(0x9E3779B97F4A7C15)
 
@@ -221,6 +226,21 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
 
 
+def bitmaps(sets: list[np.ndarray], words: int = BITS) -> np.ndarray:
+    """For each set, `words` 64-bit words, in which each shingle turns one bit."""
+    out = np.zeros((len(sets), words), np.int64)
+    for k, s in enumerate(sets):
+        bit = np.flatnonzero(np.bincount((s >> np.uint64(13)) % np.uint64(64 * words), minlength=64 * words) & 1)
+        np.bitwise_or.at(out[k], bit >> 6, (np.uint64(1) << (bit & 63).astype(np.uint64)).view(np.int64))
+    return out
+
+
+def _maybe(bits: str, n: str, other_bits: str, other_n: str, percent: int) -> str:
+    """Whether sets of these sizes and bitmaps can be similar."""
+    differ = " + ".join(f"bit_count({bits}.b{k} ^ {other_bits}.b{k})" for k in range(BITS))
+    return f"100 * least({n}, {other_n}) >= {percent} * greatest({n}, {other_n}) and {100 + percent} * ({differ}) <= {100 - percent} * ({n} + {other_n})"
+
+
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b) of nodes, with a column `link`: whether their whole sets are similar."""
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y"))
@@ -228,19 +248,23 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", (100 * common >= percent * (F.size("_x") + F.size("_y") - common)).alias("link"))
 
 
-def link_nodes(groups: DataFrame, sets: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame | None:
-    """(node, label) of the nodes that are linked, from groups (grp, node, n); None if none are."""
+def link_nodes(groups: DataFrame, sets: DataFrame, percent: int, rounds: tuple[int, ...] = ROUNDS) -> DataFrame | None:
+    """(node, label) of the nodes that are linked, from groups (grp, node, n, bits); None if none are."""
     labels, tested = None, None
-    for k in range(rounds + 1):
+    for k in range(len(rounds) + 1):
         now = groups.withColumn("comp", F.col("node")) if labels is None else groups.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-        apart = now.groupBy("grp").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min_by(F.struct("node", "comp", "n"), F.xxhash64("node", F.lit(k))).alias("_c")).filter("_lo <> _hi").select("grp", "_c")
-        if k < rounds:
-            pairs = now.join(apart, "grp").filter("comp <> _c.comp").filter(f"100 * least(n, _c.n) >= {percent} * greatest(n, _c.n)")
-            pairs = pairs.groupBy("node").agg(F.min_by("_c.node", F.xxhash64("_c.node", F.lit(k))).alias("other"))
+        apart = now.groupBy("grp").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("_size"), F.min_by(F.struct("node", "comp", "n", "bits"), F.xxhash64("node", F.lit(k))).alias("_c")).filter("_lo <> _hi").select("grp", "_c", "_size")
+        if k < len(rounds):
+            pairs = now.join(apart, "grp").filter("comp <> _c.comp").filter(_maybe("bits", "n", "_c.bits", "_c.n", percent))
+            pairs = pairs.groupBy("node", F.col("_c.node").alias("other")).agg(F.min("_size").alias("_size"))
+            if tested is not None:
+                pairs = pairs.withColumns({"a": F.least("node", "other"), "b": F.greatest("node", "other")}).join(tested, ["a", "b"], "left_anti")
+            best = Window.partitionBy("node").orderBy("_size", F.xxhash64("other", F.lit(k)), "other")
+            pairs = pairs.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= rounds[k])
         else:
             left = now.join(apart.select("grp"), "grp")
-            right = left.select("grp", F.col("node").alias("other"), F.col("comp").alias("_comp"), F.col("n").alias("_n"))
-            pairs = left.join(right, "grp").filter("node < other and comp <> _comp").filter(f"100 * least(n, _n) >= {percent} * greatest(n, _n)")
+            right = left.select("grp", F.col("node").alias("other"), F.col("comp").alias("_comp"), F.col("n").alias("_n"), F.col("bits").alias("_bits"))
+            pairs = left.join(right, "grp").filter("node < other and comp <> _comp").filter(_maybe("bits", "n", "_bits", "_n", percent))
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -277,6 +301,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     groups = written(groups.join(nodes.select("node", "n"), "node"))
     reps = groups.select("node").distinct().join(nodes.select("node", "rep"), "node")
 
+    bits = [f"b{k}" for k in range(BITS)]
+
     def run(batches):
         shingles = Shingles(words)
         for batch in batches:
@@ -284,11 +310,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
             sets = [s for i, j in blocks(offsets) for s in shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
             for k in range(0, len(sets), 200):
                 own = sets[k : k + 200]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 200], pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(np.concatenate(own).view(np.int64)))], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 200], pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(np.concatenate(own).view(np.int64))), *map(pa.array, np.ascontiguousarray(bitmaps(own).T))], names=["node", "shingles", *bits])
 
     texts = narrow(docs, "doc_id", "text").join(reps, F.col("doc_id") == F.col("rep"))
-    sets = written(texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>"))
-    labels = link_nodes(groups, sets, percent)
+    sets = written(texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>, " + ", ".join(f"{b} long" for b in bits)))
+    groups = written(groups.join(sets.select("node", F.struct(*bits).alias("bits")), "node"))
+    labels = link_nodes(groups, sets.select("node", "shingles"), percent)
     own = each.withColumn("_comp", F.when(F.col("n") > 0, F.col("h1")))
     if labels is not None:
         of = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
