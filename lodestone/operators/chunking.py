@@ -35,7 +35,7 @@ def chunk_windows(docs: DataFrame, most: int = MOST_CHARS, overlap: int = OVERLA
     lines, cum, ranges = window_ranges(F.col("lines"), most, overlap)
     d = docs.select("doc_id", lines_of(F.col("text")).alias("lines")).withColumn("cum", cum)
     d = d.withColumn("ranges", F.expr(ranges)).select("doc_id", "lines", F.posexplode("ranges").alias("win", "x"))
-    text = F.trim(F.array_join(F.slice("lines", F.col("x.s") + 1, F.col("x.e") - F.col("x.s")), "\n"))
+    text = F.regexp_replace(F.array_join(F.slice("lines", F.col("x.s") + 1, F.col("x.e") - F.col("x.s")), "\n"), r"^\s+|\s+$", "")
     d = d.select("doc_id", "win", (F.col("x.s") + 1).alias("line_start"), F.col("x.e").alias("line_end"), text.alias("text"))
     return d.filter("text <> ''").withColumn("chunk_hash", F.concat(F.lit("sha256:"), F.sha2("text", 256)))
 
