@@ -146,7 +146,7 @@ def _first_pass(docs: DataFrame, n: int) -> DataFrame:
             rows = [(0, k, x) for k, x in _by_bucket(firsts, n)]
             if len(later):
                 spans = np.empty(len(later), SPAN_TYPE)
-                spans["d"], spans["a"], spans["b"] = later["d"], later["p"] - REACH, later["p"] + WINDOW
+                spans["d"], spans["a"], spans["b"] = later["d"], np.maximum(later["p"] - REACH, 0), later["p"] + WINDOW
                 rows.append((1, int(later["h"][0] % np.uint64(n)), merged(spans).tobytes()))
             for k in range(0, max(len(rows), 1), 64):
                 kind, bucket, payload = zip(*rows[k : k + 64]) if rows else ((), (), ())
@@ -165,7 +165,7 @@ def _kinds(dealt: DataFrame) -> DataFrame:
                 (spans if kind else parts).append(np.frombuffer(payload, SPAN_TYPE) if kind else _columns(payload))
         firsts, later = split_kinds(np.concatenate(parts)) if parts else (np.zeros(0, ANCHOR_TYPE),) * 2
         own = np.empty(len(later), SPAN_TYPE)
-        own["d"], own["a"], own["b"] = later["d"], later["p"] - REACH, later["p"] + WINDOW
+        own["d"], own["a"], own["b"] = later["d"], np.maximum(later["p"] - REACH, 0), later["p"] + WINDOW
         covers = merged(np.concatenate([own, *spans]))
         same = firsts["h"][1:] == firsts["h"][:-1]
         several = np.zeros(len(firsts), bool)
