@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import uuid
 
@@ -46,8 +47,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """df, written to the shared folder as Parquet and read back: its lineage is cut by files that outlive executors."""
+    """df, written to the shared folder as Parquet and read back: its lineage is cut by files that outlive executors.
+
+    Shuffle files of earlier steps, which nothing reads any more, are let go first.
+    """
     spark = df.sparkSession
+    gc.collect()
+    spark._jvm.System.gc()
     path = folder or shared_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

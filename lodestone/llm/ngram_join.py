@@ -36,8 +36,8 @@ from lodestone.llm.common import Powers, RangeHash, blocks, bounded_batches, byt
 WORDS, PERCENT = 5, 80
 #: Checks of a node in each round, before pairs that are left are all checked.
 ROUNDS = (1, 8)
-#: 64-bit words of a set's bitmap.
-BITS = 8
+#: 64-bit words of a set's bitmap that goes with its groups, and of the one that pairs are looked up in.
+BITS, WIDE = 8, 64
 SMALL = 2
 _G = np.uint64(0x9E3779B97F4A7C15)
 
@@ -242,10 +242,13 @@ def _maybe(bits: str, n: str, other_bits: str, other_n: str, percent: int) -> st
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) of nodes, with a column `link`: whether their whole sets are similar."""
-    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y"))
-    common = F.size(F.array_intersect("_x", "_y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", (100 * common >= percent * (F.size("_x") + F.size("_y") - common)).alias("link"))
+    """Of pairs (a, b) of nodes, those whose whole sets are similar; wide bitmaps show of most others that they aren't."""
+    wide = lambda side: sets.select(F.col("node").alias(side), F.size("shingles").alias(f"_n{side}"), F.col("wide").alias(f"_w{side}"))
+    whole = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"_s{side}"))
+    differ = F.aggregate(F.zip_with("_wa", "_wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    maybe = pairs.join(wide("a"), "a").join(wide("b"), "b").filter((100 + percent) * differ <= (100 - percent) * (F.col("_na") + F.col("_nb")))
+    common = F.size(F.array_intersect("_sa", "_sb"))
+    return maybe.select("a", "b", "_na", "_nb").join(whole("a"), "a").join(whole("b"), "b").filter(100 * common >= percent * (F.col("_na") + F.col("_nb") - common)).select("a", "b")
 
 
 def link_nodes(groups: DataFrame, sets: DataFrame, percent: int, rounds: tuple[int, ...] = ROUNDS) -> DataFrame | None:
@@ -268,12 +271,10 @@ def link_nodes(groups: DataFrame, sets: DataFrame, percent: int, rounds: tuple[i
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        found = written(similar(pairs, sets, percent))
-        tested = found.select("a", "b") if tested is None else tested.union(found.select("a", "b"))
-        links = found.filter("link").select("a", "b")
+        pairs = written(pairs)
+        tested = pairs if tested is None else tested.union(pairs)
+        links = written(similar(pairs, sets, percent))
         if links.isEmpty():
-            if found.isEmpty():
-                break
             continue
         if labels is None:
             labels = components(links)
@@ -310,12 +311,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
             sets = [s for i, j in blocks(offsets) for s in shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
             for k in range(0, len(sets), 200):
                 own = sets[k : k + 200]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 200], pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(np.concatenate(own).view(np.int64))), *map(pa.array, np.ascontiguousarray(bitmaps(own).T))], names=["node", "shingles", *bits])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 200], pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(np.concatenate(own).view(np.int64))), pa.array(list(bitmaps(own, WIDE)), pa.list_(pa.int64())), *map(pa.array, np.ascontiguousarray(bitmaps(own).T))], names=["node", "shingles", "wide", *bits])
 
     texts = narrow(docs, "doc_id", "text").join(reps, F.col("doc_id") == F.col("rep"))
-    sets = written(texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>, " + ", ".join(f"{b} long" for b in bits)))
+    sets = written(texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>, wide array<long>, " + ", ".join(f"{b} long" for b in bits)))
     groups = written(groups.join(sets.select("node", F.struct(*bits).alias("bits")), "node"))
-    labels = link_nodes(groups, sets.select("node", "shingles"), percent)
+    labels = link_nodes(groups, sets.select("node", "shingles", "wide"), percent)
     own = each.withColumn("_comp", F.when(F.col("n") > 0, F.col("h1")))
     if labels is not None:
         of = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
