@@ -3,13 +3,13 @@
 Only the order of suffixes through their first 100 bytes (the depth) matters: suffixes that agree so far are
 the occurrences of a repeated window. The passes, each of which only goes on with groups that are not done:
 
-1. The digit is the suffix's lowest 32-byte string within the depth (by a hash): all suffixes with one
+1. The digit is the suffix's lowest 48-byte string within the depth (by a hash): all suffixes with one
    window share it, and so do most neighbours, so that a whole run of suffixes goes as one anchor: the string's
-   hash, a hash of its surroundings (68 bytes on either side, as far as the document goes) and its place.
+   hash, a hash of its surroundings (52 bytes on either side, as far as the document goes) and its place.
    Anchors are dealt by their digit. Where string and surroundings agree, all suffixes of the run agree, and all
    but the first run are covered. A digit with a single kind of surroundings is done.
 2. Of digits with several kinds of surroundings, the first anchor of each kind goes on: its suffixes are dealt
-   by a longer digit (66 or 67 bytes: the string and what follows, or what precedes), so that a frequent
+   by a longer digit (74 or 75 bytes: the string and what follows, or what precedes), so that a frequent
    string does not bring unlike surroundings together. Suffixes are then ordered by their whole depth; groups of equal
    ones are exactly the repeated windows, and all but the first are covered.
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import Powers, RangeHash, blocks, bounded_batches, byte_table, column_bytes, mix, narrow, ship, written
 
 #: Bytes of a window; bytes of the anchor string; bytes on either side of it that its windows reach.
-WINDOW, ANCHOR = 100, 32
+WINDOW, ANCHOR = 100, 48
 REACH = WINDOW - ANCHOR
 #: Windows that begin up to NEAR bytes before the anchor are dealt by the anchor and what follows it, others by what precedes it.
 NEAR = REACH // 2
