@@ -155,8 +155,8 @@ def _first_pass(docs: DataFrame, n: int) -> DataFrame:
     return narrow(docs, "doc_id", "text").mapInArrow(run, "kind int, bucket int, payload binary")
 
 
-def _kinds(dealt: DataFrame) -> DataFrame:
-    """Rows (doc_id, covers, asks): spans covered by whole runs; places whose suffixes go on to the second pass."""
+def _kinds(dealt: DataFrame, n: int) -> DataFrame:
+    """Rows (bucket, covers, asks), by documents: spans covered by whole runs; places whose suffixes go on to the second pass."""
 
     def run(batches):
         parts, spans = [], []
@@ -171,18 +171,36 @@ def _kinds(dealt: DataFrame) -> DataFrame:
         several = np.zeros(len(firsts), bool)
         several[1:] |= same
         several[:-1] |= same
-        asks = firsts[several]
-        asks = asks[np.lexsort((asks["p"], asks["d"]))]
-        ids = np.union1d(covers["d"], asks["d"])
-        c, a = np.searchsorted(covers["d"], np.append(ids, ids[-1:] + 1)), np.searchsorted(asks["d"], np.append(ids, ids[-1:] + 1))
+        asks = np.stack([firsts["d"][several], firsts["p"][several]], 1)
+        to = lambda d: (mix(d.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+        cover_bucket, ask_bucket = to(covers["d"]), to(asks[:, 0])
+        for k in np.union1d(cover_bucket, ask_bucket).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([covers[cover_bucket == k].tobytes()], pa.binary()), pa.array([asks[ask_bucket == k].tobytes()], pa.binary())], names=["bucket", "covers", "asks"])
+
+    return dealt.mapInArrow(run, "bucket int, covers binary, asks binary")
+
+
+def _by_document(kinds: DataFrame) -> DataFrame:
+    """Rows (doc_id, covers, asks), one for each document, from what the buckets have."""
+
+    def run(batches):
+        spans, asks = [np.zeros(0, SPAN_TYPE)], [np.zeros((0, 2), np.int64)]
+        for batch in batches:
+            spans += [np.frombuffer(x, SPAN_TYPE) for x in batch.column(1).to_pylist()]
+            asks += [np.frombuffer(x, np.int64).reshape(-1, 2) for x in batch.column(2).to_pylist()]
+        covers, asks = merged(np.concatenate(spans)), np.concatenate(asks)
+        asks = asks[np.lexsort((asks[:, 1], asks[:, 0]))]
+        ids = np.union1d(covers["d"], asks[:, 0])
+        c = np.append(np.searchsorted(covers["d"], ids), len(covers))
+        a = np.append(np.searchsorted(asks[:, 0], ids), len(asks))
         for k in range(0, len(ids), 5000):
             m = range(k, min(k + 5000, len(ids)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[k : k + 5000]), pa.array([np.stack([covers["a"][c[i] : c[i + 1]], covers["b"][c[i] : c[i + 1]]], 1).tobytes() for i in m], pa.binary()), pa.array([asks["p"][a[i] : a[i + 1]].tobytes() for i in m], pa.binary())],
+                [pa.array(ids[k : k + 5000]), pa.array([np.stack([covers["a"][c[i] : c[i + 1]], covers["b"][c[i] : c[i + 1]]], 1).tobytes() for i in m], pa.binary()), pa.array([asks[a[i] : a[i + 1], 1].tobytes() for i in m], pa.binary())],
                 names=["doc_id", "covers", "asks"],
             )
 
-    return dealt.mapInArrow(run, "doc_id long, covers binary, asks binary")
+    return kinds.mapInArrow(run, "doc_id long, covers binary, asks binary")
 
 
 SUFFIX_TYPE = np.dtype([("g", "<u8"), ("d", "<i8"), ("p", "<i8"), ("side", "u1"), ("left", "u1"), ("right", "u1"), ("text", "u1", (2 * NEAR,))])
@@ -291,8 +309,8 @@ def covered(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kinds = written(_kinds(_first_pass(docs, n).repartition(n, "bucket")))
-    asks = kinds.filter(F.length("asks") > 0).groupBy(F.col("doc_id").alias("_ask_id")).agg(F.array_join(F.collect_list(F.hex("asks")), "").alias("_hex")).select("_ask_id", F.unhex("_hex").alias("_asks"))
+    kinds = written(_by_document(_kinds(_first_pass(docs, n).repartition(n, "bucket"), n).repartition(n, "bucket")))
+    asks = kinds.filter(F.length("asks") > 0).select(F.col("doc_id").alias("_ask_id"), F.col("asks").alias("_asks"))
     asked = docs.join(asks, F.col("doc_id") == F.col("_ask_id"), "left").select("doc_id", "text", "_asks")
     more = _equal(_second_pass(asked, n).repartition(n, "bucket"))
     covers = kinds.select("doc_id", "covers").filter(F.length("covers") > 0).unionByName(more).groupBy(F.col("doc_id").alias("_cover_id")).agg(F.collect_list("covers").alias("_covers"))
