@@ -4,11 +4,13 @@ Arrivals (documents in the order of doc_id, PER_ARRIVAL ids each) are appended a
 manifest. Compaction merges FANOUT runs of one tier, which are of similar size, into a run of the next; a cascade
 of merges is planned at once, so that each row is written once: with N arrivals, arrival k ends in the highest tier t in
 which k < floor(N / FANOUT^t) * FANOUT^t. A run is cut into files of TARGET_BYTES of text by prefix sums of sizes, first over
-arrivals and then within one, so that no sum needs a whole run in one task. A manifest version is committed by a
+arrivals and then within one, so that no sum needs a whole run in one task. The sums are made of ids, sizes and digests
+alone; what they give is a table with a row for each arrival and the keys at which further files begin in it. It is written, so
+that Spark knows its size: a small one is broadcast and documents move once, to their files; a large one is joined by arrival. A manifest version is committed by a
 rename to a name that must not exist; readers take the highest version, and files it does not list don't count.
 
-A null doc_id belongs to an arrival of its own (-1, in tier 0), a null text has no bytes; repeated rows stay; an empty table
-gives no rows; other columns, whatever their names, are kept in the shards.
+A null doc_id belongs to an arrival of its own (-1, in tier 0), a null text has no bytes; repeated rows stay, and equal
+ones that a file's end would part go to the later file together; an empty table gives no rows; other columns, whatever their names, are kept in the shards.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import shared_folder
+from lodestone.llm.common import shared_folder, written
 
 PER_ARRIVAL, FANOUT, TARGET_BYTES, TIERS = 500, 4, 16_000_000, 20
 
@@ -71,7 +73,7 @@ class ShardStore:
 
     def _write(self, rows: DataFrame, by: str, kept: list[str], after: int) -> dict:
         path = f"{self.folder}/data-{after + 1}"
-        rows.write.partitionBy(by).parquet(path)
+        rows.write.option("compression", "zstd").partitionBy(by).parquet(path)
         return self.manifest.commit([*kept, path], after)
 
     def append(self, docs: DataFrame) -> dict:
@@ -83,18 +85,24 @@ class ShardStore:
     def placed(self, rows: DataFrame) -> DataFrame:
         """rows (doc, arrival) with the run (tier, run) and file that compaction puts them in."""
         size = F.coalesce(F.octet_length("doc.text"), F.lit(0)).cast("long")
-        rows = rows.withColumn("_size", size)
-        arrivals = rows.groupBy("arrival").agg(F.sum("_size").alias("bytes"))
+        key = F.struct(F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.sha2(F.coalesce("doc.text", F.lit("")), 256).alias("digest"))
+        sizes = rows.select("arrival", size.alias("size"), key.alias("key"))
+        arrivals = sizes.groupBy("arrival").agg(F.sum("size").alias("bytes"))
         count = arrivals.agg((F.max("arrival") + 1).alias("n"))  # one row
         whole = lambda t: F.floor(F.col("n") / FANOUT**t) * FANOUT**t
         tier = F.coalesce(*[F.when((F.col("arrival") >= 0) & (F.col("arrival") < whole(t)), F.lit(t)) for t in range(TIERS, 0, -1)], F.lit(0))
         arrivals = arrivals.join(F.broadcast(count)).withColumn("tier", tier)
         arrivals = arrivals.withColumn("run", F.floor(F.col("arrival") / F.pow(F.lit(float(FANOUT)), "tier")).cast("long"))
         earlier = Window.partitionBy("tier", "run").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-        arrivals = arrivals.select(F.col("arrival").alias("_arrival"), "tier", "run", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("_before"))
-        within = Window.partitionBy("arrival").orderBy("doc.doc_id", F.sha2("doc.text", 256)).rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumn("_within", F.coalesce(F.sum("_size").over(within), F.lit(0)))
-        return rows.join(arrivals, F.col("arrival") == F.col("_arrival")).withColumn("file", F.floor((F.col("_before") + F.col("_within")) / self.target).cast("long"))
+        arrivals = arrivals.select("arrival", "tier", "run", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("before"))
+        within = Window.partitionBy("arrival").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = sizes.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
+        files = sizes.join(arrivals, "arrival").withColumn("file", F.floor((F.col("before") + F.col("within")) / self.target).cast("long"))
+        begins = files.groupBy("arrival", "tier", "run", "file").agg(F.min("key").alias("key"))
+        begins = begins.groupBy(F.col("arrival").alias("_arrival"), "tier", "run").agg(F.min("file").alias("_first"), F.sort_array(F.collect_list(F.struct("key", "file"))).alias("_begins"))  # an item for TARGET_BYTES
+        begins = written(begins.withColumn("_begins", F.filter("_begins", lambda x: x["file"] > F.col("_first"))))
+        rows = rows.join(begins, F.col("arrival") == F.col("_arrival"))
+        return rows.withColumn("file", F.coalesce(F.get(F.reverse(F.filter("_begins", lambda x: x["key"] <= key)), F.lit(0))["file"], "_first")).drop("_arrival", "_first", "_begins")
 
     def compact(self) -> dict:
         """Merges all listed shards into the runs and files of `placed`, and commits a manifest of these."""
