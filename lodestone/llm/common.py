@@ -174,3 +174,21 @@ def letter_words() -> np.ndarray:
 def narrow(docs: DataFrame, *columns: str) -> DataFrame:
     """Only these columns of docs: others, whatever their names, stay out of the plan."""
     return docs.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def numbered(docs: DataFrame) -> DataFrame | None:
+    """docs, written with a column _row that tells documents apart; None if doc_id does that: none is null or has two texts.
+
+    _row is in the order of doc_id, nulls last, then of the text's hash. A row of the same doc_id and text is one row
+    repeated, and has the same _row; each row of a null doc_id is a document of its own.
+    """
+    own, key = docs.columns, F.xxhash64("text")
+    each = narrow(docs, "doc_id", "text").select("doc_id", key.alias("_row_key"))
+    if each.groupBy("doc_id").agg(F.min("_row_key").alias("_lo"), F.max("_row_key").alias("_hi")).filter("doc_id is null or _lo <> _hi").isEmpty():
+        return None
+    place = F.monotonically_increasing_id()
+    ranks = written(each.filter("doc_id is not null").distinct().orderBy("doc_id", "_row_key").withColumn("_row", place)).withColumnsRenamed({"doc_id": "_row_id", "_row_key": "_row_text"})
+    named = docs.withColumn("_row_key", key).join(ranks, (F.col("doc_id") == F.col("_row_id")) & (F.col("_row_key") == F.col("_row_text")))
+    others = docs.filter("doc_id is null").withColumns({"_row_key": key, "_row_at": place}).orderBy("_row_key", "_row_at").withColumn("_row", F.lit(1 << 62) + place)
+    columns = [*(F.col(f"`{c}`") for c in own), F.col("_row")]
+    return written(named.select(*columns).union(others.select(*columns)))

@@ -21,6 +21,7 @@ No candidate is dropped otherwise.
 
 Nulls, empty texts and texts without words have empty sets, and are linked with nothing; texts of fewer words than
 a shingle are one shingle; repeated rows are nodes' copies; an empty table gives no rows; other columns are ignored.
+Each row of a null doc_id is a document of its own, after all others in order; texts that share a doc_id are told apart.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lodestone.llm.common import Powers, RangeHash, blocks, bounded_batches, byte_table, column_bytes, lower_table, mix, narrow, ship, space_words, words_of, written
+from lodestone.llm.common import Powers, RangeHash, blocks, bounded_batches, byte_table, column_bytes, lower_table, mix, narrow, numbered, ship, space_words, words_of, written
 
 WORDS, PERCENT = 5, 80
 #: Checks of a node in each round, before pairs that are left are all checked.
@@ -289,8 +290,8 @@ def link_nodes(groups: DataFrame, sets: DataFrame, percent: int, rounds: tuple[i
     return labels
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id that links lead to) of each document."""
+def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """near_duplicates of docs whose doc_id is never null and has one text."""
     spark = docs.sparkSession
     bounded_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -325,10 +326,26 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     return own.join(least, F.col("_comp") == F.col("_of"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_least", "doc_id").alias("component_id"))
 
 
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id that links lead to, null if they only lead to nulls) of each document."""
+    rows = numbered(docs)
+    if rows is None:
+        return _linked(docs, words, percent)
+    found = _linked(rows.select(F.col("_row").alias("doc_id"), "text"), words, percent).withColumnsRenamed({"doc_id": "_own", "component_id": "_least"})
+    ids = rows.select("_row", "doc_id").distinct()
+    own, least = ids.withColumnRenamed("_row", "_own"), ids.select(F.col("_row").alias("_least"), F.col("doc_id").alias("component_id"))
+    return found.join(own, "_own").join(least, "_least").select("doc_id", "n_shingles", "component_id")
+
+
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs without near duplicates: of each component, the document with the least doc_id stays (once, if its row is repeated)."""
-    kept = near_duplicates(docs, words, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    """docs without near duplicates: of each component, the document with the least doc_id stays (once, if its row is repeated).
+
+    Of texts that share this doc_id the one with the least hash stays; a null doc_id stays if the component has no other.
+    """
+    rows = numbered(docs)
+    own, key = (docs, "doc_id") if rows is None else (rows, "_row")
+    kept = _linked(own.select(F.col(key).alias("doc_id"), "text"), words, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    return own.join(kept, F.col(key) == F.col("_kept"), "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ fullest sequence, which closes first. A task's sequences left open at its end ar
 loss is a number of sequences per task, and falls with the size of a task's part.
 
 Null and empty texts are one piece of one token (the end mark); repeated rows are packed as often as they
-occur; an empty table gives no rows; columns other than doc_id and text are ignored.
+occur; a null doc_id stays null; an empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -251,7 +251,7 @@ def pack_documents(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACIT
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words, bins = WordIds(vocabulary.value), Bins(capacity, open_bins, TaskContext.get().partitionId() << 40)
         for batch in batches:
-            doc_ids = batch.column(0).to_numpy(zero_copy_only=False).tolist()
+            doc_ids = batch.column(0).to_pylist()
             data, offsets = column_bytes(batch.column(1))
             rows = []
             for i, j in blocks(offsets):

@@ -103,6 +103,68 @@ def test_small_sets_share_signatures():
             assert len(np.intersect1d(ngram_join.signatures(x, 80, starts), ngram_join.signatures(y, 80, starts))), (x, y)
 
 
+#: Null doc_ids (copies, near copies, a chain that only a null links, unique ones, no words), two texts of one doc_id, repeated rows, ids above 2 ** 53.
+BIG = 2**60 + 1
+_T = " ".join(f"w{k}" for k in range(100))
+_S = " ".join(f"s{k}" for k in range(100))
+SHARED = [
+    (BIG, _T), (None, _T + " w100 w101 w102 w103 w104 w105 w106 w107 w108 w109 w110 w111"), (BIG + 1, _T + " " + " ".join(f"w{k}" for k in range(100, 124))),
+    (None, "n1 " + _S), (None, _S), (None, _S), (None, _S.upper()), (None, None), (None, ""), (None, ""), (None, "quite unique words of nobody else here"),
+    (5, "the first text of number five"), (5, "another unlike text that has number five"), (5, "the first text of number five"), (6, ""), (6, ""), (6, None), (7, "the first text of number five"), (8, "alone")
+]
+
+
+@pytest.fixture(scope="module")
+def shared(spark):
+    return spark.createDataFrame([(i, t, None if t is None else len(t), "z") for i, t in SHARED], "doc_id long, text string, n_chars long, node string").repartition(3)
+
+
+def linked(rows, percent=80):
+    """Brute force: the least row, by doc_id with nulls last, of each row's component."""
+    sets, up = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            c = len(sets[a] & sets[b])
+            if c and 100 * c >= percent * (len(sets[a]) + len(sets[b]) - c):
+                x, y = sorted((top(a), top(b)), key=lambda x: (rows[x][0] is None, rows[x][0] or 0, x))
+                up[y] = x
+    return [top(x) for x in range(len(rows))]
+
+
+def ordered(rows):
+    return sorted(rows, key=repr)
+
+
+def test_ngram_join_of_null_and_shared_ids(shared):
+    top = linked(SHARED)
+    got = [tuple(r) for r in ngram_join.near_duplicates(shared).collect()]
+    assert ordered(got) == ordered([(i, len(shingles(t)), SHARED[top[k]][0]) for k, (i, t) in enumerate(SHARED)])
+    assert BIG in [c for i, _, c in got if i == BIG + 1]  # through the null between them
+
+
+def test_keep_one_of_null_and_shared_ids(docs, shared):
+    top = linked(SHARED)
+    out = ngram_join.keep_one(shared)
+    assert out.columns == shared.columns
+    found = [(r.doc_id, shingles(r.text)) for r in out.collect()]
+    want = [SHARED[k] for k in range(len(SHARED)) if top[k] == k and (SHARED[k][0] is None or SHARED[k] not in SHARED[:k])]
+    near = lambda i, s: (i, sorted(s) if len(s) < 50 else len(s) // 10)  # noqa: E731  which of a null's near copies stays is open
+    assert ordered([near(i, s) for i, s in found]) == ordered([near(i, shingles(t)) for i, t in want])
+    top = linked(DOCS)
+    assert sorted(r.doc_id for r in ngram_join.keep_one(docs).collect()) == [k for k in range(len(DOCS)) if top[k] == k]
+
+
+def test_packing_of_null_ids(shared):
+    rows = packing.pack_documents(shared, packing.tokenizer_file()).collect()
+    assert ordered([r.doc_id for r in rows]) == ordered([i for i, _ in SHARED])
+
+
 @pytest.mark.parametrize("block", [decontaminate.PHRASE_BYTES, 200])
 def test_decontaminate(spark, docs, empty, block):
     rnd = random.Random(1)
