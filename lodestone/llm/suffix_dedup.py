@@ -18,7 +18,8 @@ copies, whatever its share of all rows, is dealt out as at most one anchor a bat
 
 Matches never cross documents; "earlier" is a smaller doc_id, or an earlier start in the same document. Texts are
 judged as UTF-8 bytes; a null is an empty text; a row repeated whole is one occurrence, and each of its copies gets
-the same result (one doc_id must not have two texts); an empty table gives no rows; other columns are kept by
+the same result; texts that share a doc_id are documents of their own, in the order of their hashes; each row of a
+null doc_id is a document of its own, later than all others; an empty table gives no rows; other columns are kept by
 dedup_text and never looked at.
 """
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Powers, RangeHash, blocks, bounded_batches, byte_table, column_bytes, mix, narrow, ship, written
+from lodestone.llm.common import Powers, RangeHash, blocks, bounded_batches, byte_table, column_bytes, mix, narrow, numbered, ship, written
 
 #: Bytes of a window; bytes of the anchor string; bytes on either side of it that its windows reach.
 WINDOW, ANCHOR = 100, 48
@@ -306,6 +307,14 @@ def _equal(dealt: DataFrame) -> DataFrame:
 
 def covered(docs: DataFrame) -> DataFrame:
     """docs with a column _covers: for each row, binaries of (from, to) pairs of bytes that repeat an earlier window, or null."""
+    rows = numbered(docs)
+    if rows is None:
+        return _covered(docs)
+    return _covered(rows.withColumns({"_doc_id": F.col("doc_id"), "doc_id": F.col("_row")})).withColumn("doc_id", F.col("_doc_id")).drop("_doc_id", "_row")
+
+
+def _covered(docs: DataFrame) -> DataFrame:
+    """covered, of docs whose doc_id is never null and has one text."""
     spark = docs.sparkSession
     bounded_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

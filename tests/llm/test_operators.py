@@ -63,6 +63,14 @@ def test_dedup_text_keeps_characters(docs):
         assert (r.text is None and r.n_chars is None) or len(r.text) == r.n_chars
 
 
+def test_suffix_dedup_of_null_and_shared_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(2**60 + 1, a), (2**60 + 2, "x " + a), (None, "y " + a), (None, b), (None, b), (None, None), (3, c + " one"), (3, "two, but longer, " + d), (4, d), (5, "p " + c), (4, d)]
+    found = suffix_dedup.dedup_text(spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long").repartition(2))
+    got = sorted(((r.doc_id, r.text) for r in found.collect()), key=repr)
+    assert got == sorted([(2**60 + 1, a), (2**60 + 2, "x "), (None, "y"), (None, b), (None, ""), (None, None), (3, c + " one"), (3, "two, but longer, " + d), (4, ""), (5, "p "), (4, "")], key=repr)
+
+
 def shingles(t):
     w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(LOW))
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
