@@ -7,20 +7,24 @@ matrix with ranks, and every eighth suffix position. Backward search of all phra
 suffixes; occurrences are located by steps to the nearest sampled suffix, and their word spans are merged.
 
 The benchmark is sent to the workers in blocks of at most PHRASE_BYTES of text, each with a pass over the
-documents; a benchmark that fits in one block, the usual case, takes one pass and no shuffle.
+documents; a benchmark that fits in one block, the usual case, takes one pass and no shuffle. For several blocks the
+rows are numbered and written first, and the blocks' results are put together by the rows' numbers.
 
 Null and empty texts have no words, no hits and no items; an item without words has no window; repeated rows
-are judged each; an empty benchmark hits nothing; other columns are ignored.
+are judged each, as are rows of a null doc_id and texts that share one; an empty benchmark hits nothing; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Powers, RangeHash, blocks, bounded_batches, byte_table, column_bytes, letter_words, lower_table, narrow, ship, words_of
+from lodestone.llm.common import Powers, RangeHash, blocks, bounded_batches, byte_table, column_bytes, letter_words, lower_table, narrow, numbered, ship, words_of, written
 
 WINDOW = 13
 #: Benchmark text that is held by a worker at a time; sampling of suffix positions.
@@ -180,7 +184,8 @@ def occurrences(hashes: np.ndarray, doc: np.ndarray, phrases: Phrases) -> tuple[
     return word[index.locate(rows)], phrases.lengths[which], which
 
 
-def _scan(docs: DataFrame, items: list[tuple], window: int) -> DataFrame:
+def _scan(docs: DataFrame, items: list[tuple], window: int, *more: str) -> DataFrame:
+    """SCHEMA and the columns `more` (long) of each row."""
     phrases = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches):
@@ -207,11 +212,11 @@ def _scan(docs: DataFrame, items: list[tuple], window: int) -> DataFrame:
                 for d, p in set(zip(doc[first].tolist(), which.tolist())):
                     items[i + d] += known.items[p]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n_words), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))],
-                names=["doc_id", "n_words", "spans", "items"],
+                [batch.column(0).cast(pa.int64()), *batch.columns[2:], pa.array(n_words), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))],
+                names=["doc_id", *more, "n_words", "spans", "items"],
             )
 
-    return narrow(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
+    return narrow(docs, "doc_id", "text", *more).mapInArrow(run, SCHEMA.replace(",", "".join(f", {c} long" for c in more) + ",", 1))
 
 
 def item_blocks(benchmark: DataFrame, most: int = PHRASE_BYTES):
@@ -231,27 +236,31 @@ def item_blocks(benchmark: DataFrame, most: int = PHRASE_BYTES):
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, phrase_bytes: int = PHRASE_BYTES) -> DataFrame:
     """A row for each document: doc_id, n_words, spans (words hit, merged, end exclusive), items, n_hit, contaminated."""
     bounded_batches(docs.sparkSession)
-    found = None
-    for k, items in enumerate(item_blocks(benchmark, phrase_bytes)):
-        one = _scan(docs, items, window)
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        found, k = _scan(docs, [], window), 0
-    if k:  # several blocks: put each document's spans together
+    parts = item_blocks(benchmark, phrase_bytes)
+    first, second = next(parts, []), next(parts, None)
+    if second is None:
+        found = _scan(docs, first, window)
+    else:  # several blocks: put each row's spans together
+        rows, found = written(narrow(docs, "doc_id", "text").withColumn("_row", F.monotonically_increasing_id())), None
+        for items in chain([first, second], parts):
+            one = _scan(rows, items, window, "_row")
+            found = one if found is None else found.unionByName(one)
         merged = F.aggregate(
             F.array_sort(F.flatten(F.collect_list("spans"))),
             F.expr("cast(array() as array<struct<first:long,last:long>>)"),
             lambda a, x: F.when((F.size(a) > 0) & (F.element_at(a, -1)["last"] >= x["first"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["first"].alias("first"), F.greatest(F.element_at(a, -1)["last"], x["last"]).alias("last"))))).otherwise(F.concat(a, F.array(x))),
         )
-        found = found.groupBy("doc_id", "n_words").agg(merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        found = found.groupBy("_row", "doc_id", "n_words").agg(merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).drop("_row")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"])
     return found.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated documents; all others stay as they are."""
-    bad = find_contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    rows = numbered(docs)
+    own, key = (docs, "doc_id") if rows is None else (rows, "_row")
+    bad = find_contamination(own.select(F.col(key).alias("doc_id"), "text"), benchmark).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    return own.join(bad, F.col(key) == F.col("_bad"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,6 +195,18 @@ def test_decontaminate(spark, docs, empty, block):
     assert decontaminate.find_contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("block", [decontaminate.PHRASE_BYTES, 60])
+def test_decontaminate_judges_each_row(spark, block):
+    one, two = "one two three four five six seven", "red green blue black white grey pink"
+    rows = [(1, one), (1, one), (1, "other words " * 3), (None, one), (None, two), (None, "a b c d e f g"), (None, None), (2, two + " x " + one), (3, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame([(0, one), (1, two), (2, "nothing of this sort is anywhere in there")], "item_id long, text string")
+    items = lambda t: [str(k) for k, x in enumerate((one, two)) if x in (t or "")]
+    got = [(r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in decontaminate.find_contamination(docs, bench, phrase_bytes=block).collect()]
+    assert ordered(got) == ordered([(i, len((t or "").split()), 7 * len(items(t)), items(t), bool(items(t))) for i, t in rows])
+    assert ordered([tuple(r) for r in decontaminate.drop_contaminated(docs, bench).collect()]) == ordered([(i, t) for i, t in rows if not items(t)])
+
+
 def test_packing(docs, empty):
     import numpy as np
     from tokenizers import Tokenizer
