@@ -2,8 +2,9 @@
 
 Each word is turned into a class (insult with a weight, threat, target, negation, reporting, other). The grammar is the
 composition of small transducers over these classes within a clause: negation holds for the next three words,
-reporting (a word of saying, or an open quotation mark) to the clause's end, a target within three words on either
-side. What is scored is the matched pattern (plain, targeted, negated, reported; insult or threat), not the word.
+reporting (a word of saying, or a quotation mark that nothing closes) to the clause's end, a quotation from its opening
+to its closing mark, a target within three words on either side. What is scored is the matched pattern (plain,
+targeted, negated, reported; insult or threat), not the word.
 
 Insults and their weights are learned: words and word beginnings of 4 to 6 letters that labelled toxic texts have far more
 often than others. The weights of patterns are a logistic regression. Both are fitted on at most TRAIN_ROWS labelled
@@ -38,11 +39,30 @@ THREATS = set("kill kills killed hurt beat destroy murder burn die töten umbrin
 TARGETS = set("you your he she they them him her this these people du dich ihr euch sie er diese tu vous toi il elle ils elles ces tú usted ellos ella él estos".split())
 NEGATIONS = set("not no never isn't aren't don't without nicht kein keine nie ne pas jamais sans nunca sin jamás ni".split())
 REPORTS = set("said says wrote called claims quoted according sagte sagt schrieb laut dit écrit selon dijo dice escribió según".split())
-TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n\"“”«»]")
+TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n\"„“”«»]")
+MARK = re.compile("[\"„“”«»]")
 PATTERNS = ("insult", "insult_targeted", "insult_negated", "insult_reported", "threat", "threat_targeted")
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
+def quotations(text: str) -> list[int | None]:
+    """For each quotation mark the number of the mark that closes it, its own if it closes one or none, None if nothing closes it."""
+    out: list[int | None] = []
+    open_marks: list[int] = []
+    for k, found in enumerate(MARK.finditer(text)):
+        mark, a, b = found[0], found.start(), found.end()
+        before, after = text[a - 1 : a].strip(" \t\r\n\u00a0\u202f([{"), text[b : b + 1].strip(" \t\r\n\u00a0\u202f.,;:!?)]}")
+        opens = mark == "„" or (mark != "”" and not before and (bool(after) or mark in "“«"))
+        either = mark == '"' and bool(before) == bool(after)
+        out.append(k)
+        if open_marks and not opens:
+            out[open_marks.pop()] = k
+        elif opens or either:
+            open_marks.append(k)
+            out[k] = None
+    return out
+
+
 class Grammar:
     """Word classes, and the composed transducers that count weighted matches of a text."""
 
@@ -58,20 +78,26 @@ class Grammar:
 
     def matches(self, text: str) -> np.ndarray:
         """Weight of each pattern's matches."""
-        out, quoted = np.zeros(len(PATTERNS)), False
-        tokens = TOKEN.findall(text.lower())
+        out, text = np.zeros(len(PATTERNS)), text.lower()
+        tokens = TOKEN.findall(text)
         known = {w for w in set(tokens) if w in THREATS or self.insult(w)}
         if not known:
             return out
         targets = [i for i, w in enumerate(tokens) if w in TARGETS]
         negated = reported = -10
-        at = 0
+        closed_by = quotations(text)
+        at, mark, until, unclosed = 0, 0, -1, False  # mark: the number of the next one; until: of the one that closes a quotation
         for i, w in enumerate(tokens):
             if len(w) == 1 and not w.isalpha():
-                if w in "\"“”«»":
-                    quoted = not quoted
+                if w in "\"„“”«»":
+                    if closed_by[mark] is None:
+                        unclosed = True
+                    else:
+                        until = max(until, closed_by[mark])
+                    mark += 1
                 elif w != ":":
                     negated = reported = -10
+                    unclosed = False
             elif w in NEGATIONS:
                 negated = i
             elif w in REPORTS:
@@ -83,7 +109,7 @@ class Grammar:
                 if w in THREATS and not self.insult(w):
                     out[5 if targeted else 4] += 1
                 else:
-                    out[2 if i - negated <= 3 else 3 if quoted or reported >= 0 else 1 if targeted else 0] += self.insult(w)
+                    out[2 if i - negated <= 3 else 3 if mark <= until or unclosed or reported >= 0 else 1 if targeted else 0] += self.insult(w)
         return out
 
     def score(self, text: str | None) -> float:

@@ -316,6 +316,28 @@ def test_toxicity(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [k for k, _, y in rows if not y]
 
 
+@pytest.mark.parametrize(
+    "text, pattern",
+    [
+        ('a 5" pipe. zonker', "insult"),
+        ('he: "well zonker. fine', "insult_reported"),
+        ('he: "well. fine zonker', "insult"),
+        ('he: "well. fine, zonker" ok', "insult_reported"),
+        ('he: "well. fine" zonker', "insult"),
+        ('"well. fine. "good" zonker', "insult"),
+        ("er: „na. zonker“ gut", "insult_reported"),
+        ("er: „na ja“ zonker. zack", "insult"),
+        ("er: »na. zonker« gut", "insult_reported"),
+        ("lui: « bon. zonker » bien", "insult_reported"),
+        ("lui: « bon » zonker", "insult"),
+        ("“a „b“ zonker” c", "insult_reported"),
+    ],
+)
+def test_quotations(text, pattern):
+    found = toxicity.Grammar({"zonker": 1.0}, {}, [1.0] * 6, 0.0).matches(text)
+    assert dict(zip(toxicity.PATTERNS, found)) == {p: float(p == pattern) for p in toxicity.PATTERNS}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
