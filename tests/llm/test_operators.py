@@ -353,3 +353,57 @@ def test_pipeline(spark, tmp_path):
             before = docs.count()
         else:
             assert out.select("doc_id").distinct().count() == before
+
+
+def without_repeats(rows):
+    """Brute force: texts without the characters that lie in windows of 100 bytes which came before."""
+    seen, out = set(), []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 99):
+            if b[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(b[k : k + 100])
+        at, text = 0, ""
+        for c in t or "":
+            n = len(c.encode())
+            text += "" if all(gone[at : at + n]) else c
+            at += n
+        out.append((i, None if t is None else text))
+    return out
+
+
+def uncontaminated(rows, items):
+    words = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().translate(LOW))
+    phrases = {tuple(v[s : s + 13]) for v in map(words, items) for s in range(max(len(v) - 12, min(len(v), 1)))}
+    out = []
+    for i, t in rows:
+        w = words(t)
+        hit = {k + j for k in range(len(w)) for n in {*map(len, phrases)} if tuple(w[k : k + n]) in phrases for j in range(n)}
+        out += [] if hit and 20 * len(hit) >= len(w) else [(i, t)]
+    return out
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(5)
+    toxic = [(1000 + k, " ".join("".join(rnd.choice("fghijk") for _ in range(6)) for _ in range(30)) + " zonker zonkest") for k in range(40)]
+    rows, items = DOCS + toxic, [DOCS[60][1][100:400], DOCS[100][1]]
+    frame = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    frame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long", "documents")
+    frame([(i, 1, int(i >= 1000)) for i, _ in rows], "doc_id long, quality int, toxic int", "labels")
+    frame(list(enumerate(items)), "item_id long, text string", "benchmark")
+    top = linked(DOCS)
+    single = [DOCS[k] for k in range(len(DOCS)) if top[k] == k]
+    want = [DOCS, single, without_repeats(single)]
+    want.append(uncontaminated(want[-1], items))
+    assert want[2] != want[1] and len(want[3]) < len(want[2]) < len(DOCS)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/stage{k}")
+        docs = spark.read.parquet(f"{tmp_path}/stage{k}")
+        assert sorted((r.doc_id, r.text) for r in docs.collect()) == want[k], name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in packed.filter("piece = 0").collect()) == [i for i, _ in want[3]]
