@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import sys
 import uuid
 
@@ -11,6 +12,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that a worker turns into arrays at a time; a longer document makes a block of its own.
 BLOCK_BYTES = 2_000_000
@@ -39,10 +41,11 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors and the driver see."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         root = f"file://{tempfile.gettempdir()}/lodestone-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return f"{root.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
 
 
@@ -107,6 +110,37 @@ class RangeHash:
             return mix((self.sums[end] - self.sums[start]) * self.down[start])
 
 
+_EIGHT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+_LONG = 64
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ranges of a byte array, eight bytes at a time, each mixed in full before the next."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    size = ends - starts
+    with np.errstate(over="ignore"):
+        out = mix(size.astype(np.uint64) * np.uint64(_BASE))
+        short = np.flatnonzero(size <= _LONG)
+        at, left = starts[short], size[short]
+        while len(short):
+            out[short] = mix(out[short] ^ (eight[at] & _EIGHT[np.minimum(left, 8)]))
+            more = left > 8
+            short, at, left = short[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > _LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that begins with `name` and that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow text column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -176,19 +210,31 @@ def narrow(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
-def numbered(docs: DataFrame) -> DataFrame | None:
-    """docs, written with a column _row that tells documents apart; None if doc_id does that: none is null or has two texts.
+def map_rows(df: DataFrame, run, columns: list[str]) -> DataFrame:
+    """mapInArrow for rows of any columns, whatever their names: `run` gets batches of df and yields lists of the first columns, as changed."""
+    kinds = [df.schema[k].dataType for k in range(len(columns))]
+    plain = StructType([StructField(f"c{k}", kind) for k, kind in enumerate(kinds)])
+
+    def named(batches):
+        for out in run(batches):
+            yield pa.RecordBatch.from_arrays(out, names=plain.names)
+
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(named, plain).toDF(*columns)
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str] | None:
+    """(docs, written with one more column that tells documents apart, its name); None if doc_id does that: none is null or has two texts.
 
-    _row is in the order of doc_id, nulls last, then of the text's hash. A row of the same doc_id and text is one row
-    repeated, and has the same _row; each row of a null doc_id is a document of its own.
+    The numbers are in the order of doc_id, nulls last, then of the text's hash. A row of the same doc_id and text is one
+    row repeated, and has the same number; each row of a null doc_id is a document of its own.
     """
-    own, key = docs.columns, F.xxhash64("text")
-    each = narrow(docs, "doc_id", "text").select("doc_id", key.alias("_row_key"))
-    if each.groupBy("doc_id").agg(F.min("_row_key").alias("_lo"), F.max("_row_key").alias("_hi")).filter("doc_id is null or _lo <> _hi").isEmpty():
+    own, key, row = [F.col(f"`{c}`") for c in docs.columns], F.xxhash64("text"), fresh(docs, "_row")
+    each = narrow(docs, "doc_id", "text").select("doc_id", key.alias("key"))
+    if each.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("doc_id is null or lo <> hi").isEmpty():
         return None
     place = F.monotonically_increasing_id()
-    ranks = written(each.filter("doc_id is not null").distinct().orderBy("doc_id", "_row_key").withColumn("_row", place)).withColumnsRenamed({"doc_id": "_row_id", "_row_key": "_row_text"})
-    named = docs.withColumn("_row_key", key).join(ranks, (F.col("doc_id") == F.col("_row_id")) & (F.col("_row_key") == F.col("_row_text")))
-    others = docs.filter("doc_id is null").withColumns({"_row_key": key, "_row_at": place}).orderBy("_row_key", "_row_at").withColumn("_row", F.lit(1 << 62) + place)
-    columns = [*(F.col(f"`{c}`") for c in own), F.col("_row")]
-    return written(named.select(*columns).union(others.select(*columns)))
+    ranks = written(each.filter("doc_id is not null").distinct().orderBy("doc_id", "key").withColumn("row", place))
+    packed = docs.select("doc_id", key.alias("key"), F.struct(*own).alias("doc"))
+    known = packed.join(ranks, ["doc_id", "key"]).select("doc", "row")
+    others = packed.filter("doc_id is null").withColumn("at", place).orderBy("key", "at").select("doc", (F.lit(1 << 62) + place).alias("row"))
+    return written(known.union(others).select("doc.*", F.col("row").alias(row))), row

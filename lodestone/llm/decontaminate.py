@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Powers, RangeHash, blocks, bounded_batches, byte_table, column_bytes, letter_words, lower_table, narrow, numbered, ship, words_of, written
+from lodestone.llm.common import blocks, bounded_batches, column_bytes, fresh, letter_words, lower_table, narrow, numbered, ship, word_hashes, words_of, written
 
 WINDOW = 13
 #: Benchmark text that is held by a worker at a time; sampling of suffix positions.
@@ -36,13 +36,13 @@ class Words:
     """Hashed words of blocks of texts."""
 
     def __init__(self):
-        self.powers, self.table, self.lower, self.is_word = Powers(), byte_table(3), lower_table(), letter_words()
+        self.lower, self.is_word = lower_table(), letter_words()
 
     def __call__(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(hash, document) of each word."""
         data = self.lower[data]
         starts, ends, doc = words_of(data, bounds, self.is_word)
-        return (RangeHash(data, self.powers, self.table)(starts, ends) if len(starts) else np.zeros(0, np.uint64)), doc
+        return word_hashes(data, starts, ends), doc
 
 
 class Phrases:
@@ -257,10 +257,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated documents; all others stay as they are."""
-    rows = numbered(docs)
-    own, key = (docs, "doc_id") if rows is None else (rows, "_row")
-    bad = find_contamination(own.select(F.col(key).alias("doc_id"), "text"), benchmark).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return own.join(bad, F.col(key) == F.col("_bad"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, key = numbered(docs) or (docs, "doc_id")
+    gone = fresh(own, "_bad")
+    bad = find_contamination(own.select(F.col(key).alias("doc_id"), "text"), benchmark).filter("contaminated").select(F.col("doc_id").alias(gone)).distinct()
+    return own.join(bad, F.col(key) == F.col(gone), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

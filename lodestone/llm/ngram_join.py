@@ -12,12 +12,17 @@ signatures of a set are its segments' sums. Allocation is by cost:
   signatures, which finds the pairs of two such sets.
 * A set is indexed in its own band, and in the band below if sets there can be similar to it.
 
-Sets that are equal are one node from the start. Groups of nodes with a signature in common are then checked
-exactly, on whole sets, without making all pairs: in a round each node is checked against a few nodes of other
-components that share groups with it, the smallest groups first, and components are put together; what the
-rounds leave apart is checked pair by pair. Sizes, and bitmaps in which every shingle turns one of 512 bits (sets
-differ in at least as many shingles as their bitmaps in bits), show before that which pairs can't be similar.
-No candidate is dropped otherwise.
+Sets that are equal are one node from the start, named by its least doc_id. Groups of nodes with a signature in common
+are then checked exactly, on whole sets, without making all pairs:
+
+* In a round each node is checked against a few nodes of other components that share groups with it, the smallest
+  groups first, and components are put together.
+* Nodes that the rounds leave apart in some group are allocated anew, by counted cost: a table of SLOTS counters has how
+  many sets hold the shingles of each slot, and a set's signatures are its cheapest shingles, as many as a similar set
+  must share one of. Nodes meet only over one of these, so that groups that a frequent passage, line or segment has
+  brought together fall apart; what is left are sets that are similar in the most part. Their sizes, and bitmaps in which
+  every shingle turns one of 512 bits (sets differ in at least as many shingles as their bitmaps in bits), show which pairs
+  can't be similar. No candidate is dropped otherwise.
 
 Nulls, empty texts and texts without words have empty sets, and are linked with nothing; texts of fewer words than
 a shingle are one shingle; repeated rows are nodes' copies; an empty table gives no rows; other columns are ignored.
@@ -32,11 +37,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lodestone.llm.common import Powers, RangeHash, blocks, bounded_batches, byte_table, column_bytes, lower_table, mix, narrow, numbered, ship, space_words, words_of, written
+from lodestone.llm.common import blocks, bounded_batches, column_bytes, fresh, lower_table, mix, narrow, numbered, ship, space_words, word_hashes, words_of, written
 
 WORDS, PERCENT = 5, 80
-#: Checks of a node in each round, before pairs that are left are all checked.
+#: Checks of a node in each round, before what is left is allocated by counted cost.
 ROUNDS = (1, 8)
+#: Counters of shingles; a part of them is summed by one task. The table that workers get has a byte for each.
+SLOTS, PARTS = 1 << 20, 64
 #: 64-bit words of a set's bitmap that goes with its groups, and of the one that pairs are looked up in.
 BITS, WIDE = 8, 64
 SMALL = 2
@@ -61,14 +68,14 @@ class Shingles:
     """Distinct shingles of documents, as sorted arrays of hashes."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.powers, self.table, self.lower, self.is_word = words, Powers(), byte_table(7), lower_table(), space_words()
+        self.words, self.lower, self.is_word = words, lower_table(), space_words()
 
     def __call__(self, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
         data, k, n = self.lower[data], self.words, len(bounds) - 1
         starts, ends, doc = words_of(data, bounds, self.is_word)
         if not len(starts):
             return [np.zeros(0, np.uint64)] * n
-        w = RangeHash(data, self.powers, self.table)(starts, ends)
+        w = word_hashes(data, starts, ends)
         at = np.searchsorted(doc, np.arange(n + 1)).tolist()
         with np.errstate(over="ignore"):
             s = np.zeros(max(len(w) - k + 1, 0), np.uint64)
@@ -151,6 +158,15 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
     return narrow(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
 
 
+def _dealt(sig: np.ndarray, node: np.ndarray, n: int) -> pa.RecordBatch:
+    """A row (bucket, payload) for each bucket, of the signatures dealt to it and their nodes."""
+    bucket = (sig >> np.uint64(24)) % np.uint64(n)
+    order = np.argsort(bucket, kind="stable")
+    sig, node, edge = sig[order], node[order], np.searchsorted(bucket[order], np.arange(n + 1))
+    full = np.flatnonzero(np.diff(edge)).tolist()
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([sig[edge[k] : edge[k + 1]].tobytes() + node[edge[k] : edge[k + 1]].tobytes() for k in full], pa.binary())], names=["bucket", "payload"])
+
+
 def _dealt_signatures(docs: DataFrame, words: int, percent: int, n: int) -> DataFrame:
     """Rows (bucket, payload) of signatures and the nodes that have them; equal sets of a batch give theirs once."""
     starts = band_starts(percent)
@@ -167,12 +183,7 @@ def _dealt_signatures(docs: DataFrame, words: int, percent: int, n: int) -> Data
                         seen.add(h)
                         sigs.append(signatures(s, percent, starts))
                         nodes.append(np.full(len(sigs[-1]), h))
-            sig, node = np.concatenate(sigs), np.concatenate(nodes)
-            bucket = (sig >> np.uint64(24)) % np.uint64(n)
-            order = np.argsort(bucket, kind="stable")
-            sig, node, edge = sig[order], node[order], np.searchsorted(bucket[order], np.arange(n + 1))
-            full = np.flatnonzero(np.diff(edge)).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([sig[edge[k] : edge[k + 1]].tobytes() + node[edge[k] : edge[k + 1]].tobytes() for k in full], pa.binary())], names=["bucket", "payload"])
+            yield _dealt(np.concatenate(sigs), np.concatenate(nodes), n)
 
     return narrow(docs, "doc_id", "text").mapInArrow(run, "bucket int, payload binary")
 
@@ -252,8 +263,54 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return maybe.select("a", "b", "_na", "_nb").join(whole("a"), "a").join(whole("b"), "b").filter(100 * common >= percent * (F.col("_na") + F.col("_nb") - common)).select("a", "b")
 
 
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.view(np.uint64) >> np.uint64(17)) % np.uint64(SLOTS)
+
+
+def shingle_costs(sets: DataFrame) -> np.ndarray:
+    """For each slot the logarithm, in eighths of a power of 2, of the number of sets that hold its shingles: SLOTS bytes, whatever the sets."""
+
+    def count(batches):
+        out = np.zeros(SLOTS, np.uint32)
+        for batch in batches:
+            out += np.bincount(_slots(batch.column(0).flatten().to_numpy()), minlength=SLOTS).astype(np.uint32)
+        if out.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in np.split(out, PARTS)], pa.binary())], names=["part", "counts"])
+
+    def total(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.frombuffer(counts, np.uint32).astype(np.uint64)
+                sums[part] = sums[part] + own if part in sums else own
+        for part, own in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.minimum(8 * np.log2(own + np.uint64(1)), 255).astype(np.uint8).tobytes()], pa.binary())], names=["part", "costs"])
+
+    rows = sets.select("shingles").mapInArrow(count, "part int, counts binary").repartition(PARTS, "part").mapInArrow(total, "part int, costs binary").collect()  # PARTS rows
+    return np.frombuffer(b"".join(r.costs for r in sorted(rows)) or bytes(SLOTS), np.uint8)
+
+
+def _dealt_cheapest(sets: DataFrame, percent: int, n: int) -> DataFrame:
+    """Rows (bucket, payload) of each node's cheapest shingles, as many as a set that is similar to it must share one of."""
+    sent = sets.sparkSession.sparkContext.broadcast(shingle_costs(sets))
+
+    def run(batches):
+        costs = sent.value
+        for batch in batches:
+            node, lists = batch.column(0).to_numpy(), batch.column(1)
+            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            picked = [np.zeros(0, np.int64)]
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                own = flat[a:b]
+                picked.append(own[np.lexsort((own, costs[_slots(own)]))[: b - a + 1 - -(-(b - a) * percent // 100)]])
+            yield _dealt(np.concatenate(picked).view(np.uint64), np.repeat(node, [len(x) for x in picked[1:]]), n)
+
+    return sets.select("node", "shingles").mapInArrow(run, "bucket int, payload binary")
+
+
 def link_nodes(groups: DataFrame, sets: DataFrame, percent: int, rounds: tuple[int, ...] = ROUNDS) -> DataFrame | None:
     """(node, label) of the nodes that are linked, from groups (grp, node, n, bits); None if none are."""
+    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     labels, tested = None, None
     for k in range(len(rounds) + 1):
         now = groups.withColumn("comp", F.col("node")) if labels is None else groups.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
@@ -266,9 +323,8 @@ def link_nodes(groups: DataFrame, sets: DataFrame, percent: int, rounds: tuple[i
             best = Window.partitionBy("node").orderBy("_size", F.xxhash64("other", F.lit(k)), "other")
             pairs = pairs.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= rounds[k])
         else:
-            left = now.join(apart.select("grp"), "grp")
-            right = left.select("grp", F.col("node").alias("other"), F.col("comp").alias("_comp"), F.col("n").alias("_n"), F.col("bits").alias("_bits"))
-            pairs = left.join(right, "grp").filter("node < other and comp <> _comp").filter(_maybe("bits", "n", "_bits", "_n", percent))
+            members = written(now.join(apart.select("grp"), "grp").select("node", "comp", "n", "bits").dropDuplicates(["node"]))
+            pairs = rare_pairs(members, sets, percent, n)
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -290,51 +346,57 @@ def link_nodes(groups: DataFrame, sets: DataFrame, percent: int, rounds: tuple[i
     return labels
 
 
+def rare_pairs(members: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
+    """Pairs (node, other) of members (node, comp, n, bits) that are apart, share one of their cheapest shingles and may be similar."""
+    found = _groups(_dealt_cheapest(sets, percent, n).repartition(n, "bucket")).join(members, "node")
+    right = found.select("grp", F.col("node").alias("other"), F.col("comp").alias("_comp"), F.col("n").alias("_n"), F.col("bits").alias("_bits"))
+    return found.join(right, "grp").filter("node < other and comp <> _comp").filter(_maybe("bits", "n", "_bits", "_n", percent)).select("node", "other")
+
+
 def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """near_duplicates of docs whose doc_id is never null and has one text."""
     spark = docs.sparkSession
     bounded_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     each = written(document_sets(docs, words))
-    nodes = each.filter("n > 0").groupBy(F.col("h1").alias("node")).agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), (F.min("h2") != F.max("h2")).alias("clash"))
-    if not nodes.filter("clash").isEmpty():
-        raise ValueError("two different sets have one 64-bit hash; choose other constants")
+    nodes = written(each.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")))
     groups = _groups(_dealt_signatures(docs, words, percent, n).repartition(n, "bucket")).distinct()
-    groups = written(groups.join(nodes.select("node", "n"), "node"))
-    reps = groups.select("node").distinct().join(nodes.select("node", "rep"), "node")
-
+    # sets of one h1 that h2 tells apart are both put into its groups
+    groups = written(groups.join(nodes.select(F.col("h1").alias("node"), "rep", "n"), "node").select("grp", F.col("rep").alias("node"), "n"))
     bits = [f"b{k}" for k in range(BITS)]
 
     def run(batches):
-        shingles = Shingles(words)
+        shingles, seen = Shingles(words), set()
         for batch in batches:
+            fresh_rows = [k for k, x in enumerate(batch.column(0).to_pylist()) if not (x in seen or seen.add(x))]  # a row that is repeated gives its set once
+            batch = batch.take(pa.array(fresh_rows, pa.int32()))
             data, offsets = column_bytes(batch.column(1))
             sets = [s for i, j in blocks(offsets) for s in shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
             for k in range(0, len(sets), 200):
                 own = sets[k : k + 200]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 200], pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(np.concatenate(own).view(np.int64))), pa.array(list(bitmaps(own, WIDE)), pa.list_(pa.int64())), *map(pa.array, np.ascontiguousarray(bitmaps(own).T))], names=["node", "shingles", "wide", *bits])
 
-    texts = narrow(docs, "doc_id", "text").join(reps, F.col("doc_id") == F.col("rep"))
+    texts = narrow(docs, "doc_id", "text").join(groups.select("node").distinct(), F.col("doc_id") == F.col("node"))
     sets = written(texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>, wide array<long>, " + ", ".join(f"{b} long" for b in bits)))
-    groups = written(groups.join(sets.select("node", F.struct(*bits).alias("bits")), "node"))
+    groups = written(groups.join(sets.select("node", F.struct(*bits).alias("bits")).dropDuplicates(["node"]), "node"))
     labels = link_nodes(groups, sets.select("node", "shingles", "wide"), percent)
-    own = each.withColumn("_comp", F.when(F.col("n") > 0, F.col("h1")))
-    if labels is not None:
-        of = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
-        own = own.join(of, F.col("_comp") == F.col("_node"), "left").withColumn("_comp", F.coalesce("_label", "_comp"))
-    least = own.filter("_comp is not null").groupBy(F.col("_comp").alias("_of")).agg(F.min("doc_id").alias("_least"))
-    return own.join(least, F.col("_comp") == F.col("_of"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_least", "doc_id").alias("component_id"))
+    if labels is not None:  # the least node of a component is its least doc_id
+        nodes = nodes.join(labels, F.col("rep") == F.col("node"), "left").withColumn("rep", F.coalesce("label", "rep"))
+    of = written(nodes.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "rep"))
+    found = each.join(of, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links lead to, null if they only lead to nulls) of each document."""
-    rows = numbered(docs)
-    if rows is None:
+    told = numbered(docs)
+    if told is None:
         return _linked(docs, words, percent)
-    found = _linked(rows.select(F.col("_row").alias("doc_id"), "text"), words, percent).withColumnsRenamed({"doc_id": "_own", "component_id": "_least"})
-    ids = rows.select("_row", "doc_id").distinct()
-    own, least = ids.withColumnRenamed("_row", "_own"), ids.select(F.col("_row").alias("_least"), F.col("doc_id").alias("component_id"))
-    return found.join(own, "_own").join(least, "_least").select("doc_id", "n_shingles", "component_id")
+    rows = told[0].select(F.col(told[1]).alias("row"), "doc_id", "text")
+    found = _linked(rows.select(F.col("row").alias("doc_id"), "text"), words, percent).withColumnsRenamed({"doc_id": "own", "component_id": "least"})
+    ids = rows.select("row", "doc_id").distinct()
+    own, least = ids.withColumnRenamed("row", "own"), ids.select(F.col("row").alias("least"), F.col("doc_id").alias("component_id"))
+    return found.join(own, "own").join(least, "least").select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -342,10 +404,10 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
 
     Of texts that share this doc_id the one with the least hash stays; a null doc_id stays if the component has no other.
     """
-    rows = numbered(docs)
-    own, key = (docs, "doc_id") if rows is None else (rows, "_row")
-    kept = _linked(own.select(F.col(key).alias("doc_id"), "text"), words, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return own.join(kept, F.col(key) == F.col("_kept"), "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, key = numbered(docs) or (docs, "doc_id")
+    gone = fresh(own, "_kept")
+    kept = _linked(own.select(F.col(key).alias("doc_id"), "text"), words, percent).filter("doc_id = component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return own.join(kept, F.col(key) == F.col(gone), "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

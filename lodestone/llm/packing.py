@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm.common import Powers, RangeHash, blocks, bounded_batches, byte_table, column_bytes, lower_table, narrow, ship, space_words
+from lodestone.llm.common import blocks, bounded_batches, column_bytes, lower_table, narrow, ship, space_words, word_hashes
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 #: Tokens of a sequence; id that ends a document; open sequences of a task; distinct words that a task remembers.
@@ -147,7 +147,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remembered, self.merges = Tokenizer.from_str(tokenizer_json), remembered, Merges(json.loads(tokenizer_json)["model"])
-        self.powers, self.table, self.lower, self.is_word = Powers(), byte_table(8), lower_table(), space_words()
+        self.lower, self.is_word = lower_table(), space_words()
         self.kind = np.full(256, 3, np.uint8)
         self.kind[~self.is_word] = 0
         self.kind[0x61:0x7B] = self.kind[0x80:] = 1
@@ -197,7 +197,7 @@ class WordIds:
         if not len(starts):
             return np.full(n, END_ID, np.uint32), np.arange(n + 1)
         raw = data.tobytes()
-        unique, first, inverse = np.unique(RangeHash(data, self.powers, self.table)(starts, ends), return_index=True, return_inverse=True)
+        unique, first, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.hashes) + len(unique) > self.remembered:
             self._forget()
         at = np.minimum(np.searchsorted(self.hashes, unique), max(len(self.hashes) - 1, 0))

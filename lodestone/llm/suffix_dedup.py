@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Powers, RangeHash, blocks, bounded_batches, byte_table, column_bytes, mix, narrow, numbered, ship, written
+from lodestone.llm.common import Powers, RangeHash, blocks, bounded_batches, byte_table, column_bytes, fresh, map_rows, mix, narrow, numbered, ship, written
 
 #: Bytes of a window; bytes of the anchor string; bytes on either side of it that its windows reach.
 WINDOW, ANCHOR = 100, 48
@@ -305,25 +305,24 @@ def _equal(dealt: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "doc_id long, covers binary")
 
 
-def covered(docs: DataFrame) -> DataFrame:
-    """docs with a column _covers: for each row, binaries of (from, to) pairs of bytes that repeat an earlier window, or null."""
-    rows = numbered(docs)
-    if rows is None:
-        return _covered(docs)
-    return _covered(rows.withColumns({"_doc_id": F.col("doc_id"), "doc_id": F.col("_row")})).withColumn("doc_id", F.col("_doc_id")).drop("_doc_id", "_row")
+def covers_of(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(docs with one more column, its name): binaries of (from, to) pairs of bytes that repeat an earlier window, or null."""
+    own, key = numbered(docs) or (docs, "doc_id")
+    found, covers, at = _covers(own.select(F.col(key).alias("doc_id"), "text")), fresh(own, "_covers"), fresh(own, "_of")
+    found = found.select(F.col("doc_id").alias(at), F.col("covers").alias(covers))
+    return own.join(found, F.col(key) == F.col(at), "left"), covers
 
 
-def _covered(docs: DataFrame) -> DataFrame:
-    """covered, of docs whose doc_id is never null and has one text."""
+def _covers(docs: DataFrame) -> DataFrame:
+    """doc_id, covers of the documents that have any; of docs (doc_id, text) whose doc_id is never null and has one text."""
     spark = docs.sparkSession
     bounded_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kinds = written(_by_document(_kinds(_first_pass(docs, n).repartition(n, "bucket"), n).repartition(n, "bucket")))
-    asks = kinds.filter(F.length("asks") > 0).select(F.col("doc_id").alias("_ask_id"), F.col("asks").alias("_asks"))
-    asked = docs.join(asks, F.col("doc_id") == F.col("_ask_id"), "left").select("doc_id", "text", "_asks")
+    asks = kinds.filter(F.length("asks") > 0).select(F.col("doc_id").alias("ask_id"), "asks")
+    asked = docs.join(asks, F.col("doc_id") == F.col("ask_id"), "left").select("doc_id", "text", "asks")
     more = _equal(_second_pass(asked, n).repartition(n, "bucket"))
-    covers = kinds.select("doc_id", "covers").filter(F.length("covers") > 0).unionByName(more).groupBy(F.col("doc_id").alias("_cover_id")).agg(F.collect_list("covers").alias("_covers"))
-    return docs.join(covers, F.col("doc_id") == F.col("_cover_id"), "left").drop("_cover_id")
+    return kinds.select("doc_id", "covers").filter(F.length("covers") > 0).unionByName(more).groupBy("doc_id").agg(F.collect_list("covers").alias("covers"))
 
 
 def spans_of(covers: list[bytes] | None, n: int) -> np.ndarray:
@@ -366,7 +365,8 @@ def removed_spans(docs: DataFrame) -> DataFrame:
             spans = [spans_of(c, len(t)) for c, t in zip(batch.column(2).to_pylist(), texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([[{"first": a, "last": b} for a, b in s.tolist()] for s in spans], kind), pa.array([kept(t, s) for t, s in zip(texts, spans)], pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    return covered(narrow(docs, "doc_id", "text")).select("doc_id", "text", "_covers").mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<first:long,last:long>>, kept binary")
+    found, covers = covers_of(narrow(docs, "doc_id", "text"))
+    return found.select("doc_id", "text", covers).mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<first:long,last:long>>, kept binary")
 
 
 def dedup_text(docs: DataFrame) -> DataFrame:
@@ -386,10 +386,10 @@ def dedup_text(docs: DataFrame) -> DataFrame:
             columns[at["text"]] = pa.array(out, columns[at["text"]].type)
             if "n_chars" in at:
                 columns[at["n_chars"]] = pa.array([None if t is None else len(t) for t in out], columns[at["n_chars"]].type)
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            yield columns
 
-    found = covered(docs)
-    return found.select(*[F.col(f"`{c}`") for c in schema.names], "_covers").mapInArrow(run, schema)
+    found, covers = covers_of(docs)
+    return map_rows(found.select(*[F.col(f"`{c}`") for c in schema.names], covers), run, schema.names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm.common import Powers, RangeHash, blocks, bounded_batches, byte_table, column_bytes, lower_table, narrow, ship, space_words, words_of
+from lodestone.llm.common import blocks, bounded_batches, column_bytes, lower_table, narrow, ship, space_words, word_hashes, words_of
 
 SCHEMA = "doc_id long, n_words long, n_tokens long, max_word_tokens long"
 #: Distinct words whose counts a task remembers.
@@ -94,7 +94,7 @@ def count_tokens(docs: DataFrame, tokenizer_json: str) -> DataFrame:
 
     def run(batches):
         automaton = Automaton(vocabulary_pieces(vocabulary.value))
-        powers, table, lower, is_word = Powers(), byte_table(9), lower_table(), space_words()
+        lower, is_word = lower_table(), space_words()
         known, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
@@ -104,7 +104,7 @@ def count_tokens(docs: DataFrame, tokenizer_json: str) -> DataFrame:
                 starts, ends, doc = words_of(own, bounds, is_word)
                 if not len(starts):
                     continue
-                unique, first, inverse = np.unique(RangeHash(own, powers, table)(starts, ends), return_index=True, return_inverse=True)
+                unique, first, inverse = np.unique(word_hashes(own, starts, ends), return_index=True, return_inverse=True)
                 if len(known) > REMEMBERED:
                     known, counts = known[:0], counts[:0]
                 at = np.searchsorted(known, unique)

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bounded_batches, narrow, ship
+from lodestone.llm.common import bounded_batches, map_rows, narrow, ship
 
 #: The classifier is fitted on so many labelled documents at most.
 TRAIN_ROWS = 10_000
@@ -201,9 +201,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
         own = Grammar(*sent.value)
         for batch in batches:
-            yield batch.filter(pa.array([own.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([own.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_())).columns
 
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run, schema.names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

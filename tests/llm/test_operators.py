@@ -27,12 +27,13 @@ def corpus():
 
 
 DOCS = corpus()
+CLASHES = "node _covers _COVERS_ asks _asks _ask_id ask_id _cover_id _of _kept _bad _row row key _row_key _doc_id grp h1 h2 rep n doc at bucket payload a b label comp bits _id toxic held_out a.b".split()
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    # a column that clashes with names inside the operators
-    return spark.createDataFrame([(i, t, "en", f"s{i % 3}", None if t is None else len(t), i, "z") for i, t in DOCS], "doc_id long, text string, lang string, source string, n_chars long, node long, _covers string").repartition(3)
+    # with columns that clash with names inside the operators
+    return spark.createDataFrame([(i, t, "en", f"s{i % 3}", None if t is None else len(t), *[f"z{i}"] * len(CLASHES)) for i, t in DOCS], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +42,7 @@ def empty(spark, docs):
 
 
 def test_suffix_dedup(docs, empty):
-    got = {r.doc_id: r for r in suffix_dedup.removed_spans(docs.drop("_covers")).collect()}
+    got = {r.doc_id: r for r in suffix_dedup.removed_spans(docs).collect()}
     seen = set()
     for i, t in DOCS:
         b = (t or "").encode()
@@ -57,9 +58,10 @@ def test_suffix_dedup(docs, empty):
 
 
 def test_dedup_text_keeps_characters(docs):
-    found = suffix_dedup.dedup_text(docs.drop("_covers"))
-    assert found.columns == docs.drop("_covers").columns
+    found = suffix_dedup.dedup_text(docs)
+    assert found.columns == docs.columns
     for r in found.collect():
+        assert {r[c] for c in CLASHES} == {f"z{r.doc_id}"}
         assert (r.text is None and r.n_chars is None) or len(r.text) == r.n_chars
 
 
@@ -111,6 +113,49 @@ def test_small_sets_share_signatures():
             assert len(np.intersect1d(ngram_join.signatures(x, 80, starts), ngram_join.signatures(y, 80, starts))), (x, y)
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(k).count("1") % 2 else a for k in range(n))
+
+
+def test_words_that_polynomials_confuse(spark):
+    """Two words of 2,048 letters whose difference is a polynomial that vanishes modulo 2**64 at every odd number."""
+    import numpy as np
+
+    from lodestone.llm.common import word_hashes
+
+    x, y = thue_morse(2048), thue_morse(2048, "b", "a")
+    data = np.frombuffer((x + y + x[:60] + y[:60] + "abc").encode(), np.uint8)
+    at = np.cumsum([0, 2048, 2048, 60, 60, 1, 2])
+    assert len(set(word_hashes(data, at[:-1], at[1:]).tolist())) == 6
+    docs = spark.createDataFrame([(1, f"{x} one two three four five"), (2, f"{y} one two three four five"), (3, x), (4, y)], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()} == {k: k for k in (1, 2, 3, 4)}
+    found = decontaminate.find_contamination(docs, spark.createDataFrame([(0, x)], "item_id long, text string")).collect()
+    assert {r.doc_id: r.n_hit for r in found} == {1: 1, 2: 0, 3: 1, 4: 0}
+    test_token_counts(docs, [tuple(r) for r in docs.collect()])
+    test_packing(docs, docs.limit(0), [tuple(r) for r in docs.collect()])
+
+
+def test_unlike_sets_of_one_large_group_are_not_all_compared(spark):
+    """5,000 sets that share a passage of 60 shingles, and so many signatures, but are similar in eight pairs only."""
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    passage = rnd.integers(0, 2**62, 60)
+    own = [np.sort(np.concatenate([passage, rnd.integers(0, 2**62, 60)])) for _ in range(5000)]
+    for k in range(8):
+        own[2 * k + 1] = np.sort(np.concatenate([own[2 * k][:-5], rnd.integers(0, 2**62, 5)]))
+    own = [x.astype(np.uint64) for x in own]
+    bits = ngram_join.bitmaps(own)
+    sets = spark.createDataFrame([(k, x.tolist(), b.tolist()) for k, (x, b) in enumerate(zip(own, ngram_join.bitmaps(own, ngram_join.WIDE)))], "node long, shingles array<long>, wide array<long>")
+    kind = "struct<" + ",".join(f"b{k}:long" for k in range(ngram_join.BITS)) + ">"
+    groups = spark.createDataFrame([(1, k, len(x), tuple(b.tolist())) for k, (x, b) in enumerate(zip(own, bits))], f"grp long, node long, n long, bits {kind}")
+    labels = ngram_join.link_nodes(groups, sets, 80)
+    assert sorted(tuple(r) for r in labels.collect()) == sorted((2 * k + j, 2 * k) for k in range(8) for j in range(2))
+    met = ngram_join._groups(ngram_join._dealt_cheapest(sets, 80, 4).repartition(4, "bucket")).groupBy("grp").count()
+    compared = met.selectExpr("sum(count * (count - 1) / 2) as n").first().n
+    assert compared < 5000  # of 12.5 million
+
+
 #: Null doc_ids (copies, near copies, a chain that only a null links, unique ones, no words), two texts of one doc_id, repeated rows, ids above 2 ** 53.
 BIG = 2**60 + 1
 _T = " ".join(f"w{k}" for k in range(100))
@@ -207,7 +252,7 @@ def test_decontaminate_judges_each_row(spark, block):
     assert ordered([tuple(r) for r in decontaminate.drop_contaminated(docs, bench).collect()]) == ordered([(i, t) for i, t in rows if not items(t)])
 
 
-def test_packing(docs, empty):
+def test_packing(docs, empty, rows_in=DOCS):
     import numpy as np
     from tokenizers import Tokenizer
 
@@ -215,7 +260,7 @@ def test_packing(docs, empty):
     rows = packing.pack_documents(docs, packing.tokenizer_file()).collect()
     got = {(r.doc_id, r.piece): r for r in rows}
     n = 0
-    for i, text in DOCS:
+    for i, text in rows_in:
         ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [1], np.uint32)
         for k in range(0, len(ids), 4096):
             r, own, n = got[(i, k // 4096)], ids[k : k + 4096], n + 1
@@ -238,7 +283,7 @@ def test_bins_close_the_fullest():
     assert [bins.place(n) for n in (6, 8, 7, 4, 2)] == [(0, 0), (1, 0), (2, 0), (0, 6), (2, 7)]
 
 
-def test_token_counts(docs):
+def test_token_counts(docs, rows_in=DOCS[:90]):
     pieces = set(token_counts.vocabulary_pieces(packing.tokenizer_file()))
     longest = max(map(len, pieces))
 
@@ -250,7 +295,7 @@ def test_token_counts(docs):
         return n
 
     got = {r.doc_id: r for r in token_counts.count_tokens(docs, packing.tokenizer_file()).collect()}
-    for i, t in DOCS[:90]:
+    for i, t in rows_in:
         w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(LOW))
         assert (got[i].n_words, got[i].n_tokens) == (len(w), sum(map(greedy, w)))
 
