@@ -37,6 +37,12 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def partitions_for(df: DataFrame, most: int = 64_000_000) -> int:
+    """The session's number of shuffle partitions, or more, so that each has at most `most` bytes of df's files."""
+    least, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return least if size >= 1 << 54 else max(least, -(-size // most))  # an unknown size is given as 2 ** 63 - 1, in proportion to the columns
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors and the driver see."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -112,7 +118,7 @@ class RangeHash:
 
 _EIGHT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Words of more bytes are hashed one by one.
-_LONG = 64
+_LONG = 128
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

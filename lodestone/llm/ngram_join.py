@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lodestone.llm.common import blocks, bounded_batches, column_bytes, fresh, lower_table, mix, narrow, numbered, ship, space_words, word_hashes, words_of, written
+from lodestone.llm.common import blocks, bounded_batches, column_bytes, fresh, lower_table, mix, narrow, numbered, partitions_for, ship, space_words, word_hashes, words_of, written
 
 WORDS, PERCENT = 5, 80
 #: Checks of a node in each round, before what is left is allocated by counted cost.
@@ -310,7 +310,7 @@ def _dealt_cheapest(sets: DataFrame, percent: int, n: int) -> DataFrame:
 
 def link_nodes(groups: DataFrame, sets: DataFrame, percent: int, rounds: tuple[int, ...] = ROUNDS) -> DataFrame | None:
     """(node, label) of the nodes that are linked, from groups (grp, node, n, bits); None if none are."""
-    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(sets)
     labels, tested = None, None
     for k in range(len(rounds) + 1):
         now = groups.withColumn("comp", F.col("node")) if labels is None else groups.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
@@ -348,16 +348,19 @@ def link_nodes(groups: DataFrame, sets: DataFrame, percent: int, rounds: tuple[i
 
 def rare_pairs(members: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
     """Pairs (node, other) of members (node, comp, n, bits) that are apart, share one of their cheapest shingles and may be similar."""
-    found = _groups(_dealt_cheapest(sets, percent, n).repartition(n, "bucket")).join(members, "node")
+    found = _groups(_dealt_cheapest(sets, percent, n).repartition(n, "bucket")).distinct().join(members, "node")
+    sizes = found.groupBy("grp", "comp").count().groupBy("grp").agg(F.max_by("comp", F.struct("count", "comp")).alias("_most"), F.count("*").alias("_comps"))
+    found = found.join(sizes.filter("_comps > 1").select("grp", "_most"), "grp")  # a group's largest component is not compared with itself
     right = found.select("grp", F.col("node").alias("other"), F.col("comp").alias("_comp"), F.col("n").alias("_n"), F.col("bits").alias("_bits"))
-    return found.join(right, "grp").filter("node < other and comp <> _comp").filter(_maybe("bits", "n", "_bits", "_n", percent)).select("node", "other")
+    pairs = found.filter("comp <> _most").join(right, "grp").filter("comp <> _comp and (_comp = _most or node < other)")
+    return pairs.filter(_maybe("bits", "n", "_bits", "_n", percent)).select("node", "other")
 
 
 def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """near_duplicates of docs whose doc_id is never null and has one text."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(docs)
     each = written(document_sets(docs, words))
     nodes = written(each.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")))
     groups = _groups(_dealt_signatures(docs, words, percent, n).repartition(n, "bucket")).distinct()
