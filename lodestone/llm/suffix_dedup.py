@@ -11,7 +11,8 @@ the occurrences of a repeated window. The passes, each of which only goes on wit
 2. Of digits with several kinds of surroundings, the first anchor of each kind goes on: its suffixes are dealt
    by a longer digit (74 or 75 bytes: the string and what follows, or what precedes), so that a frequent
    string does not bring unlike surroundings together. Suffixes are then ordered by their whole depth; groups of equal
-   ones are exactly the repeated windows, and all but the first are covered.
+   ones are exactly the repeated windows, and all but the first are covered. Equal ones agree in two hashes of the longer
+   digit, of different make (128 bits), and in each of the other bytes.
 
 A batch of documents keeps only the first anchor of each kind (the others are covered by it), so that a group of
 copies, whatever its share of all rows, is dealt out as at most one anchor a batch.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Powers, RangeHash, blocks, bounded_batches, byte_table, column_bytes, fresh, map_rows, mix, narrow, numbered, ship, written
+from lodestone.llm.common import Powers, RangeHash, blocks, bounded_batches, byte_table, column_bytes, fresh, map_rows, mix, narrow, numbered, partitions_for, ship, word_hashes, written
 
 #: Bytes of a window; bytes of the anchor string; bytes on either side of it that its windows reach.
 WINDOW, ANCHOR = 100, 48
@@ -204,7 +205,7 @@ def _by_document(kinds: DataFrame) -> DataFrame:
     return kinds.mapInArrow(run, "doc_id long, covers binary, asks binary")
 
 
-SUFFIX_TYPE = np.dtype([("g", "<u8"), ("d", "<i8"), ("p", "<i8"), ("side", "u1"), ("left", "u1"), ("right", "u1"), ("text", "u1", (2 * NEAR,))])
+SUFFIX_TYPE = np.dtype([("g", "<u8"), ("g2", "<u8"), ("d", "<i8"), ("p", "<i8"), ("side", "u1"), ("left", "u1"), ("right", "u1"), ("text", "u1", (2 * NEAR,))])
 #: For either side of an anchor: where its longer digit begins and ends, and the bytes on either side that windows still need.
 SIDES = ((0, WINDOW - NEAR, NEAR), (-(NEAR + 1), ANCHOR, REACH - NEAR - 1))
 
@@ -219,6 +220,7 @@ def _suffixes(data: np.ndarray, hashes: RangeHash, doc_id: np.ndarray, place: np
         x = np.zeros(int(ok.sum()), SUFFIX_TYPE)
         with np.errstate(over="ignore"):
             x["g"] = mix(hashes(lo, hi) + np.uint64(side + 1))
+        x["g2"] = word_hashes(data, lo, hi)
         x["d"], x["p"], x["side"] = doc_id[ok], place[ok] - start[ok], side
         x["left"], x["right"] = np.minimum(lo - s, need), np.minimum(e - hi, need)
         for k in range(need):
@@ -255,6 +257,16 @@ def _second_pass(asked: DataFrame, n: int) -> DataFrame:
     return asked.mapInArrow(run, "bucket int, payload binary")
 
 
+def _same(own: np.ndarray, row: np.ndarray, k: np.ndarray, other: np.ndarray, need: int) -> np.ndarray:
+    """Whether windows agree with others in both hashes of the digit, and byte by byte in the k bytes before it and the rest after it."""
+    out = (own["g"][row] == own["g"][other]) & (own["g2"][row] == own["g2"][other])
+    text = own["text"]
+    for c in range(need):
+        out &= (c >= k) | (text[row, c] == text[other, c])
+        out &= (c >= need - k) | (text[row, NEAR + c] == text[other, NEAR + c])
+    return out
+
+
 def equal_suffixes(x: np.ndarray) -> np.ndarray:
     """SPAN_TYPE spans of all but the first of equal windows, from SUFFIX_TYPE rows."""
     out, table = [np.zeros(0, SPAN_TYPE)], byte_table(5)
@@ -284,6 +296,12 @@ def equal_suffixes(x: np.ndarray) -> np.ndarray:
         value, row, k = value[order], row[order], k[order]
         fresh = np.concatenate([[True], value[1:] != value[:-1]])
         first = np.maximum.accumulate(np.where(fresh, np.arange(len(value)), 0))
+        unlike = np.flatnonzero(~_same(own, row, k, row[first], need))
+        if len(unlike):  # a group of one hash and several strings: by the strings themselves
+            seen: dict[tuple, int] = {}
+            for i in np.flatnonzero(np.isin(first, first[unlike])).tolist():
+                r, at = own[row[i]], int(k[i])
+                first[i] = seen.setdefault((int(r["g"]), int(r["g2"]), at, r["text"][:at].tobytes(), r["text"][NEAR : NEAR + need - at].tobytes()), i)
         later = (own["d"][row] != own["d"][row[first]]) | (own["p"][row] != own["p"][row[first]])
         spans = np.empty(int(later.sum()), SPAN_TYPE)
         spans["d"] = own["d"][row[later]]
@@ -317,7 +335,7 @@ def _covers(docs: DataFrame) -> DataFrame:
     """doc_id, covers of the documents that have any; of docs (doc_id, text) whose doc_id is never null and has one text."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(docs)
     kinds = written(_by_document(_kinds(_first_pass(docs, n).repartition(n, "bucket"), n).repartition(n, "bucket")))
     asks = kinds.filter(F.length("asks") > 0).select(F.col("doc_id").alias("ask_id"), "asks")
     asked = docs.join(asks, F.col("doc_id") == F.col("ask_id"), "left").select("doc_id", "text", "asks")

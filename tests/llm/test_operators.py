@@ -57,6 +57,38 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.removed_spans(empty).count() == 0
 
 
+def test_suffix_dedup_of_segments(spark, monkeypatch):
+    """A text that is looked at in many segments, with repeats across their ends."""
+    rnd = random.Random(11)
+    say = lambda n: "".join(rnd.choice("abcdefgh ß") for _ in range(n))
+    part = say(1500)
+    texts = [say(700) + part + say(900) + part[300:] + say(400) + part[:350] + say(2000), part[100:900]]
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 250)
+    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.removed_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        b = t.encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 99):
+            if b[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(b[k : k + 100])
+        assert got[i] == bytes(c for c, z in zip(b, gone) if not z)
+
+
+def test_equal_hashes_of_unlike_suffixes(monkeypatch):
+    """Windows that a hash confuses are told apart by their bytes."""
+    import numpy as np
+
+    x = np.zeros(4, suffix_dedup.SUFFIX_TYPE)
+    x["d"], x["p"], x["left"], x["right"] = [1, 2, 3, 4], 40, suffix_dedup.NEAR, 0
+    x["text"][:, : suffix_dedup.NEAR] = np.array([7, 8, 7, 8])[:, None]
+    want = suffix_dedup.equal_suffixes(x)
+    assert want["d"].tolist() == [3, 4]
+    monkeypatch.setattr(suffix_dedup, "byte_table", lambda _: np.ones(256, np.uint64))
+    assert (suffix_dedup.equal_suffixes(x) == want).all()
+
+
 def test_dedup_text_keeps_characters(docs):
     found = suffix_dedup.dedup_text(docs)
     assert found.columns == docs.columns
