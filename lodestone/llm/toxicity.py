@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar over the words of a clause.
 
-Each word is turned into a class (insult with a weight, threat, target, negation, reporting, other). The grammar is the
-composition of small transducers over these classes within a clause: negation holds for the next three words,
-reporting (a word of saying, or a quotation mark that nothing closes) to the clause's end, a quotation from its opening
-to its closing mark, a target within three words on either side. What is scored is the matched pattern (plain,
-targeted, negated, reported; insult or threat), not the word.
+Each word is turned into a class (insult with a weight, threat, target, negation, reporting, other), each punctuation
+mark into a clause's end or a quotation's opening or closing. Small transducers over these classes each mark insults and threats: the
+negation transducer those among the next three words or marks, the reported-speech transducer those after a word of saying, to
+the clause's end, or within a quotation (one that nothing closes holds to the clause's end), the target transducer those within
+three words after a target, and its mirror, which reads from the right, those before one. `compose` makes one machine of the
+first three; all but quotations that are closed start anew with each clause. What is scored is the clause: of each pattern (plain,
+targeted, negated, reported; insult or threat) that a clause matches, the heaviest match counts once.
 
 Insults and their weights are learned: words and word beginnings of 4 to 6 letters that labelled toxic texts have far more
 often than others. The weights of patterns are a logistic regression. Both are fitted on at most TRAIN_ROWS labelled
@@ -23,7 +25,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +43,8 @@ NEGATIONS = set("not no never isn't aren't don't without nicht kein keine nie ne
 REPORTS = set("said says wrote called claims quoted according sagte sagt schrieb laut dit écrit selon dijo dice escribió según".split())
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n\"„“”«»]")
 MARK = re.compile("[\"„“”«»]")
-PATTERNS = ("insult", "insult_targeted", "insult_negated", "insult_reported", "threat", "threat_targeted")
+KINDS = ("insult", "threat")
+PATTERNS = tuple(kind + how for kind in KINDS for how in ("", "_targeted", "_negated", "_reported"))
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -63,11 +66,78 @@ def quotations(text: str) -> list[int | None]:
     return out
 
 
+class Transducer:
+    """A deterministic transducer: arcs[state, symbol] is (output, next state)."""
+
+    def __init__(self, start, arcs: dict):
+        self.start, self.arcs = start, arcs
+
+    def outputs(self) -> list[str]:
+        return sorted({y for y, _ in self.arcs.values()})
+
+    def __call__(self, symbols):
+        state = self.start
+        for x in symbols:
+            y, state = self.arcs[state, x]
+            yield y
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The machine that gives what `second` gives for the outputs of `first`, of the states that can be reached."""
+    start, arcs = (first.start, second.start), {}
+    todo, seen = [start], {start}
+    while todo:
+        a, b = todo.pop()
+        for (state, x), (y, to) in first.arcs.items():
+            if state == a:
+                z, over = second.arcs[b, y]
+                arcs[(a, b), x] = (z, (to, over))
+                if (to, over) not in seen:
+                    seen.add((to, over))
+                    todo.append((to, over))
+    return Transducer(start, arcs)
+
+
+#: Other words, insults, threats, targets, negations, reporting; a quotation's begin and end, a mark that nothing closes, a clause's end.
+ALPHABET = "o i h t n r ( ) ~ .".split()
+NEAR = 3
+
+
+def within(alphabet: list[str], trigger: str, mark: str) -> Transducer:
+    """Puts `mark` to insults and threats among the NEAR words or marks after a trigger in the clause. States: how many are left."""
+    arcs = {}
+    for left in range(NEAR + 1):
+        for x in alphabet:
+            y = x + mark if x[0] in "ih" and left else x
+            arcs[left, x] = (y, 0 if x == "." else NEAR if x == trigger else max(left - 1, 0))
+    return Transducer(0, arcs)
+
+
+def reporting(alphabet: list[str]) -> Transducer:
+    """Puts a quotation mark to insults and threats that are reported. States: (since a word of saying in the clause, in a quotation)."""
+    arcs = {}
+    for said in (False, True):
+        for quoted in (False, True):
+            for x in alphabet:
+                y = x + '"' if x[0] in "ih" and (said or quoted) else x
+                arcs[(said, quoted), x] = (y, (x in ("r", "~") or (said and x != "."), x == "(" or (quoted and x != ")")))
+    return Transducer((False, False), arcs)
+
+
+NEGATION = within(ALPHABET, "n", "!")
+REPORTED = compose(NEGATION, reporting(NEGATION.outputs()))
+FORWARD = compose(REPORTED, within(REPORTED.outputs(), "t", ">"))
+BACKWARD = within(FORWARD.outputs(), "t", "<")
+#: The pattern of an insult or threat by its marks.
+PATTERN_OF = {x: 4 * (x[0] == "h") + (2 if "!" in x else 3 if '"' in x else 1 if ">" in x or "<" in x else 0) for x in BACKWARD.outputs() if x[0] in "ih"}
+
+
 class Grammar:
-    """Word classes, and the composed transducers that count weighted matches of a text."""
+    """Word classes, and the weights of the patterns that the composed transducers find."""
 
     def __init__(self, words: dict[str, float], stems: dict[str, float], weights: list[float], bias: float):
         self.words, self.stems, self.weights, self.bias = words, stems, weights, bias
+        self.classes = {w: c for c, own in (("h", THREATS), ("r", REPORTS), ("n", NEGATIONS), ("t", TARGETS)) for w in own}
 
     def insult(self, word: str) -> float:
         found = self.words.get(word)
@@ -76,40 +146,49 @@ class Grammar:
         stems = self.stems
         return max(stems.get(word[:4], 0.0), stems.get(word[:5], 0.0), stems.get(word[:6], 0.0)) if stems and len(word) > 4 else 0.0
 
+    def symbols(self, text: str, tokens: list[str], insults: dict[str, float]) -> list[tuple[str, float]]:
+        """(class, weight) of each word and mark."""
+        closed_by, out, until, mark = quotations(text), [], -1, 0
+        for w in tokens:
+            if w in insults:
+                out.append(("i", insults[w]))
+            elif len(w) > 1 or w.isalpha():
+                out.append((self.classes.get(w, "o"), 1.0))
+            elif w in "\"„“”«»":
+                end = closed_by[mark]
+                if end is None:
+                    out.append(("~", 0.0))
+                elif mark <= until:
+                    out.append((")" if mark == until else "o", 0.0))
+                else:
+                    out.append(("(" if end > mark else "o", 0.0))
+                    until = max(until, end)
+                mark += 1
+            else:
+                out.append(("o" if w == ":" else ".", 0.0))
+        return out
+
     def matches(self, text: str) -> np.ndarray:
-        """Weight of each pattern's matches."""
+        """For each pattern, the sum over clauses of the heaviest match."""
         out, text = np.zeros(len(PATTERNS)), text.lower()
         tokens = TOKEN.findall(text)
-        known = {w for w in set(tokens) if w in THREATS or self.insult(w)}
-        if not known:
+        own = set(tokens)
+        insults = {w: x for w in own if (x := self.insult(w))}
+        if not insults and own.isdisjoint(THREATS):
             return out
-        targets = [i for i, w in enumerate(tokens) if w in TARGETS]
-        negated = reported = -10
-        closed_by = quotations(text)
-        at, mark, until, unclosed = 0, 0, -1, False  # mark: the number of the next one; until: of the one that closes a quotation
-        for i, w in enumerate(tokens):
-            if len(w) == 1 and not w.isalpha():
-                if w in "\"„“”«»":
-                    if closed_by[mark] is None:
-                        unclosed = True
-                    else:
-                        until = max(until, closed_by[mark])
-                    mark += 1
-                elif w != ":":
-                    negated = reported = -10
-                    unclosed = False
-            elif w in NEGATIONS:
-                negated = i
-            elif w in REPORTS:
-                reported = i
-            elif w in known:
-                while at < len(targets) and targets[at] < i - 3:
-                    at += 1
-                targeted = at < len(targets) and abs(targets[at] - i) <= 3
-                if w in THREATS and not self.insult(w):
-                    out[5 if targeted else 4] += 1
-                else:
-                    out[2 if i - negated <= 3 else 3 if mark <= until or unclosed or reported >= 0 else 1 if targeted else 0] += self.insult(w)
+        read = self.symbols(text, tokens, insults)
+        forward = list(FORWARD(x for x, _ in read))
+        clause: dict[int, float] = {}
+        for y, (_, weight) in zip(BACKWARD(reversed(forward)), reversed(read)):
+            if y == ".":
+                for p, best in clause.items():
+                    out[p] += best
+                clause = {}
+            elif y[0] in "ih":
+                p = PATTERN_OF[y]
+                clause[p] = max(clause.get(p, 0.0), weight)
+        for p, best in clause.items():
+            out[p] += best
         return out
 
     def score(self, text: str | None) -> float:
@@ -182,11 +261,11 @@ def score_documents(docs: DataFrame, grammar: Grammar) -> DataFrame:
 
     def run(batches):
         own = Grammar(*sent.value)
-        for pdf in batches:
-            score = pdf["text"].map(lambda t: own.score(t), na_action=None)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": score.astype("float64"), "predicted": (score >= 0.5).astype("int32")})
+        for batch in batches:
+            score = np.array([own.score(t) for t in batch.column(1).to_pylist()], float)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return narrow(docs, "doc_id", "text").withColumn("held_out", held_out()).mapInPandas(run, SCHEMA)
+    return narrow(docs, "doc_id", "text").withColumn("held_out", held_out()).mapInArrow(run, SCHEMA)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -197,8 +276,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = schema.names.index("text")
 
     def run(batches):
-        import pyarrow as pa
-
         own = Grammar(*sent.value)
         for batch in batches:
             yield batch.filter(pa.array([own.score(t) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_())).columns

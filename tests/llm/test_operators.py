@@ -408,13 +408,42 @@ def test_toxicity(spark):
         ("lui: « bon. zonker » bien", "insult_reported"),
         ("lui: « bon » zonker", "insult"),
         ("“a „b“ zonker” c", "insult_reported"),
+        ('He left 5" of snow. You zonker!', "insult_targeted"),
+        ("ok you. zonker now", "insult"),
+        ("zonker. you there", "insult"),
+        ("zonker, that is you", "insult_targeted"),
+        ("not a, b zonker", "insult_negated"),
+        ("not a b c zonker", "insult"),
+        ("he said a b c d zonker", "insult_reported"),
+        ("he said so. zonker", "insult"),
+        ("zonker zonker and zonker", "insult"),
+        ("kill", "threat"),
+        ("we kill you", "threat_targeted"),
+        ("never kill", "threat_negated"),
+        ('"we kill you"', "threat_reported"),
     ],
 )
 def test_quotations(text, pattern):
-    found = toxicity.Grammar({"zonker": 1.0}, {}, [1.0] * 6, 0.0).matches(text)
+    found = toxicity.Grammar({"zonker": 1.0}, {}, [1.0] * 8, 0.0).matches(text)
     assert dict(zip(toxicity.PATTERNS, found)) == {p: float(p == pattern) for p in toxicity.PATTERNS}
 
 
+def test_composition_is_one_machine_after_another():
+    rnd = random.Random(2)
+    report, target = toxicity.reporting(toxicity.NEGATION.outputs()), toxicity.within(toxicity.REPORTED.outputs(), "t", ">")
+    for _ in range(300):
+        x = rnd.choices(toxicity.ALPHABET, k=rnd.randint(0, 12))
+        assert list(toxicity.FORWARD(x)) == list(target(report(toxicity.NEGATION(x))))
+
+
+def test_toxicity_of_null_and_large_ids(spark, empty):
+    ids = [2**60 + 1, None, 2**60 + 3, None]
+    docs = spark.createDataFrame([(i, "some text") for i in ids], "doc_id long, text string").coalesce(1)
+    grammar = toxicity.Grammar({}, {}, [1.0] * 8, -2.0)
+    assert [r.doc_id for r in toxicity.score_documents(docs, grammar).collect()] == ids
+    assert toxicity.score_documents(empty, grammar).count() == toxicity.drop_toxic(empty, docs.selectExpr("doc_id", "1 as toxic")).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
