@@ -34,7 +34,7 @@ from lodestone.llm.common import bounded_batches, map_rows, narrow, ship
 #: The classifier is fitted on so many labelled documents at most.
 TRAIN_ROWS = 10_000
 #: Least share of evidence (in nats) for a learned insult.
-EVIDENCE = 18.0
+EVIDENCE = 15.0
 #: Log odds, over the base rate's, from which an insult has the full weight.
 CERTAIN = 4.0
 THREATS = set("kill kills killed hurt beat destroy murder burn die töten umbringen schlagen vernichten sterben tuer frapper détruire mourir brûler matar golpear destruir morir quemar".split())

@@ -367,10 +367,43 @@ def test_sharding(spark, docs, tmp_path):
     store.append(docs.filter("doc_id >= 70"))
     assert store.compact()["version"] == 3
     with pytest.raises(RuntimeError):
-        store.manifest.commit([], 2)
+        store.manifest.commit({}, 2)
     got = store.read().select("doc.*", "shard").collect()
     assert sorted((r.doc_id, r.text or "") for r in got) == sorted((i, t or "") for i, t in DOCS)
     assert len({r.shard for r in got}) > 3
+    assert store.compact()["version"] == 3  # nothing is left to merge
+
+
+def test_sharding_over_many_appends(spark, shared, empty, tmp_path, monkeypatch):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", per_arrival=1, target_bytes=300)
+    assert store.read().count() == 0
+    want = []
+    content = lambda: ordered(tuple(r) for r in store.read().select("doc.doc_id", "doc.text").collect())
+    for k in range(3):
+        store.append(shared)
+        want += [(i, t) for i, t in SHARED]
+        before = {r.seq: r.folder for r in store.runs(store.manifest.latest()).collect()}
+        if k:
+            store.compact()
+            runs = store.runs(store.manifest.latest()).collect()
+            kept = [r for r in runs if before.get(r.seq) == r.folder]
+            assert kept and len(runs) < len(before)  # some runs stay as they are
+            assert all(sum((r.seq // sharding.CHUNK, r.tier) == (x.seq // sharding.CHUNK, x.tier) for x in runs) < sharding.FANOUT for r in runs)
+        assert content() == ordered(want)
+    version = store.manifest.latest()["version"]
+    with monkeypatch.context() as m:  # a writer is lost between data and manifest, another within the manifest
+        m.setattr(store.manifest, "commit", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            store.append(shared)
+    (tmp_path / "s" / f"manifest-{version + 1}.json").write_text('{"version": ')
+    assert content() == ordered(want) and store.manifest.latest()["version"] == version
+    assert store.append(shared)["version"] == version + 2
+    assert content() == ordered(want + SHARED)
+    assert store.append(shared.limit(0))["version"] == version + 3 and content() == ordered(want + SHARED)
+    none = sharding.ShardStore(spark, f"file://{tmp_path}/none")
+    none.append(empty)
+    none.compact()
+    assert none.read().count() == 0 and none.read().select("doc.*").columns == empty.columns
 
 
 def test_html():
