@@ -413,6 +413,86 @@ def test_html():
     assert html_extract.main_text(None, tree) == html_extract.main_text("", tree) == ""
 
 
+PARAGRAPH = "A paragraph of an article, which has many words in it and goes on for a while."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<main class='layout with-sidebar'><p>{}</p></main>", "<article class='post has-comments'><p>{}</p></article>", "<div class=no-sidebar><p>{}</p></div>", "<form id=aspnetForm><article><p>{}</p></article></form>",
+        "<form id=aspnetForm><p>{}</p></form>", "<svg/><p>{}</p>", "<iframe/><p>{}</p>", "<button><p>{}</p>", "<p>{}</p><script>x", "<!-- <p>no</p> --><p title='a>b'>{}</p><!-- <p>no</p>", "<nav><a href=/>Home</a></nav></x></div><p>{}</p>",
+        "<article><p>{}</p></article><section id=comments><article><p>{}</p></article></section>", "<article><p>{}</p></article><article class=comment><p>{}</p></article>", "<aside><article><p>{}</p></article></aside><p>{}</p>",
+    ],
+)
+def test_html_of_odd_markup(page):
+    tree = html_extract.Tree(list(html_extract.TRAINING))
+    assert html_extract.main_text(page.replace("{}", PARAGRAPH), tree) == PARAGRAPH
+
+
+def test_html_is_read_in_linear_time():
+    import time
+
+    tree, began = html_extract.Tree(list(html_extract.TRAINING)), time.time()
+    for page in ("<a " * 300_000, '<a "' * 200_001 + ">", "<div>" * 100_000 + "</x>" * 100_000, "<p a='" * 100_000, "<script>" * 50_000, "<!--" * 200_000, "<button>" * 50_000):
+        html_extract.main_text(page, tree)
+    assert time.time() - began < 30
+
+
+def test_html_table(spark):
+    rows = [(1, "u", f"<p>{PARAGRAPH}</p>", 5), (1, "u", f"<p>{PARAGRAPH}</p>", 5), (2, None, None, None), (None, "v", "", 1), (2**60 + 1, "w", "<article><p>x &eacute;&#33;<br>y\n z</article>", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text long")
+    got = ordered([tuple(r) for r in html_extract.extract(pages).collect()])
+    assert got == ordered([(1, "u", PARAGRAPH, len(PARAGRAPH))] * 2 + [(2, None, "", 0), (None, "v", "", 0), (2**60 + 1, "w", "x é! y z", 8)])
+    assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+def independent(page):
+    """Main text by Python's own parser: what is in article or main, or else outside of furniture."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.stack, self.blocks, self.now = [], [], ""
+
+        def close_block(self):
+            if words := self.now.split():
+                self.blocks.append((" ".join(words), any(n in ("article", "main") for n, _ in self.stack), any(f for _, f in self.stack)))
+            self.now = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html_extract.INLINE:
+                self.now += " " if tag == "br" else ""
+                return
+            self.close_block()
+            if tag not in ("meta", "link", "hr", "input", "base", "col", "area", "embed", "source", "track", "param"):
+                names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
+                self.stack.append((tag, tag in html_extract.FURNITURE | html_extract.HIDDEN or bool(html_extract.NAMED.search(names))))
+
+        def handle_endtag(self, tag):
+            if tag in html_extract.INLINE:
+                return
+            self.close_block()
+            if tag in [n for n, _ in self.stack]:
+                while self.stack.pop()[0] != tag:
+                    pass
+
+        def handle_data(self, data):
+            self.now += data
+
+    reader = Reader()
+    reader.feed(page or "")
+    reader.close_block()
+    own = [b for b in reader.blocks if not b[2]]
+    return "\n".join(t for t, content, _ in own if content or not any(c for _, c, _ in own))
+
+
+def test_html_of_all_pages_against_another_parser(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows)).collect()}
+    assert [r.page_id for r in rows if got[r.page_id] != independent(r.html)] == []
+
+
 def test_toxicity(spark):
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
