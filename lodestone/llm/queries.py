@@ -16,4 +16,4 @@ QUERIES = {
     "op9_token_counts": token_counts.query,
     "op10_toxicity": toxicity.query,
 }
-SQL = {"op2_quality_rules": quality_rules.SQL, "op3_decontaminate": decontaminate.SQL, "op5_sharding": sharding.SQL}
+SQL = {"op2_quality_rules": quality_rules.SQL, "op3_decontaminate": decontaminate.SQL, "op4_chat_format": chat_format.SQL, "op5_sharding": sharding.SQL}

@@ -361,6 +361,33 @@ def test_chat_format(spark):
     assert later and all("<|again|>system<|text|>sys<|end|>" in w for w in later)
 
 
+def test_chat_windows_keep_their_budget(spark):
+    """No window holds more than the budget, but one of a single turn that does not fit beside the system turn."""
+    rnd = random.Random(8)
+    say = lambda n: " ".join(rnd.choice(["a", "be", "<x>", "&", "no."]) for _ in range(n))
+    rows = []
+    for conv, (system, most) in enumerate([(0, 300), (20, 300), (200, 150), (400, 400), (500, 1500), (2000, 700), (3, 5)]):
+        rows += [(conv, 0, "system", say(system), "z")] * (system > 0)
+        rows += [(conv, k, ("assistant", "user")[k % 2], say(rnd.randint(0, most)), "z") for k in range(1, 40)]
+    c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n string")
+    shown = [(w.conv_id, w.win, re.findall(r"<\|(turn|again)\|>(.*?)<\|text\|>(.*?)<\|end\|>", w.formatted, re.S)) for w in chat_format.format_windows(c).collect()]
+    n = lambda role, text: len(re.findall(r"[^\W_]+|[^\w\s]|_", f"{role} {text}")) + 3
+    full = 0
+    for conv, _, parts in shown:
+        new = [p for p in parts if p[0] == "turn"]
+        again = [p for p in parts if p[0] == "again"]
+        size = sum(n(*p[1:]) for p in parts)
+        full += len(new) > 1
+        if size > chat_format.BUDGET:
+            assert len(new) == 1 and all(p[1] == "system" for p in again), (conv, size)
+        assert len([p for p in again if p[1] != "system"]) <= chat_format.HISTORY_TURNS
+    assert full > 20
+    assert chat_format.format_windows(c.limit(0)).count() == 0
+    # windows of a conversation with a short system turn all show it; one too long is never repeated
+    assert all(any(p[1] == "system" for p in parts) for conv, _, parts in shown if conv in (1, 2, 6))
+    assert sum(p[1] == "system" for conv, _, parts in shown if conv == 5 for p in parts) == 1
+
+
 def test_sharding(spark, docs, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/s", per_arrival=10, target_bytes=20_000)
     store.append(docs.filter("doc_id < 70"))
