@@ -3,8 +3,8 @@
 The phrases are the windows of 13 words of each benchmark item (or the whole item, if it is shorter). A shard
 is a block of documents. Of its words, only runs in which every two neighbours are neighbours in some phrase
 can hold an occurrence; the index is built over those runs: suffix array, Burrows-Wheeler transform, wavelet
-matrix with ranks, and every eighth suffix position. Backward search of all phrases at once gives ranges of
-suffixes; occurrences are located by steps to the nearest sampled suffix, and their word spans are merged.
+matrix with ranks, and every eighth suffix position. Backward search of all phrases whose last two words occur as
+neighbours, at once, gives ranges of suffixes; occurrences are located by steps to the nearest sampled suffix, and their word spans are merged.
 
 The benchmark is sent to the workers in blocks of at most PHRASE_BYTES of text, each with a pass over the
 documents; a benchmark that fits in one block, the usual case, takes one pass and no shuffle. For several blocks the
@@ -68,6 +68,17 @@ class Phrases:
         pair = np.arange(window - 1)[None, :] + 1 < self.lengths[:, None]
         self.pairs = np.unique((self.words[:, :-1] * v + self.words[:, 1:])[pair])
         self.v = v
+        at = np.arange(len(seen))
+        last = self.words[at, np.maximum(self.lengths - 1, 0)]
+        last = np.where(self.lengths > 1, self.words[at, np.maximum(self.lengths - 2, 0)] * v + last, -last)  # the last pair, or the only word
+        self.by_last = np.argsort(last, kind="stable")
+        self.last = last[self.by_last]
+
+    def ending_in(self, last: np.ndarray) -> np.ndarray:
+        """The phrases that end in one of these pairs (or are one of these words, given as negative numbers)."""
+        lo, hi = np.searchsorted(self.last, last), np.searchsorted(self.last, last, side="right")
+        count = hi - lo
+        return self.by_last[np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
 
 
 class WaveletMatrix:
@@ -177,7 +188,10 @@ def occurrences(hashes: np.ndarray, doc: np.ndarray, phrases: Phrases) -> tuple[
     word = np.zeros(len(text) + 1, np.int64)
     word[step] = place
     index = FMIndex(text, int(phrases.v) - 1)
-    which, lo, hi = index.search(phrases.words, phrases.lengths)
+    inside = text[1:] > 1
+    maybe = phrases.ending_in(np.unique(np.concatenate([-text[text > 1], (text[:-1] * phrases.v + text[1:])[inside & (text[:-1] > 1)]])))
+    which, lo, hi = index.search(phrases.words[maybe], phrases.lengths[maybe])
+    which = maybe[which]
     count = hi - lo
     rows = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
     which = np.repeat(which, count)
