@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that a worker turns into arrays at a time; a longer document makes a block of its own.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 #: Rows of an Arrow batch that a worker is given.
 BATCH_ROWS = 1000
 

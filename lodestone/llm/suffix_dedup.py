@@ -38,8 +38,8 @@ WINDOW, ANCHOR = 100, 48
 REACH = WINDOW - ANCHOR
 #: Windows that begin up to NEAR bytes before the anchor are dealt by the anchor and what follows it, others by what precedes it.
 NEAR = REACH // 2
-#: Window starts that are looked at together in one long document.
-SEGMENT = 2_000_000
+#: Window starts that are looked at together in one long document; bytes of text that are, of short ones.
+SEGMENT = BLOCK = 500_000
 ANCHOR_TYPE = np.dtype([("h", "<u8"), ("c", "<u8"), ("d", "<i8"), ("p", "<i8")])
 SPAN_TYPE = np.dtype([("d", "<i8"), ("a", "<i8"), ("b", "<i8")])
 
@@ -133,7 +133,7 @@ def _first_pass(docs: DataFrame, n: int) -> DataFrame:
             doc_ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offsets = column_bytes(batch.column(1))
             parts = []
-            for i, j in blocks(offsets):
+            for i, j in blocks(offsets, BLOCK):
                 lo, hi = int(offsets[i]), int(offsets[j])
                 for a in range(0, max(hi - lo, 1), SEGMENT) if hi - lo > 2 * SEGMENT and j == i + 1 else [None]:
                     s, e = (lo, hi) if a is None else (max(lo, lo + a - REACH), min(hi, lo + a + SEGMENT + WINDOW + REACH))
@@ -240,7 +240,7 @@ def _second_pass(asked: DataFrame, n: int) -> DataFrame:
             asks = batch.column(2).to_pylist()
             data, offsets = column_bytes(batch.column(1))
             parts = [np.zeros(0, SUFFIX_TYPE)]
-            for i, j in blocks(offsets):
+            for i, j in blocks(offsets, BLOCK):
                 places = [np.frombuffer(asks[k] or b"", np.int64) for k in range(i, j)]
                 count = np.array([len(x) for x in places])
                 if count.any():
