@@ -27,10 +27,19 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(file_name(path), r"\.[^.]*$", "")
 
 
-def masked_code(text: Column) -> Column:
-    """Code without block comments (their line ends stay), string literals and line comments."""
-    block = F.regexp_replace(text, r"/\*[^*\n]*\*/", " ")
-    return F.regexp_replace(F.regexp_replace(block, r'"[^"\n]*"', '""'), r"//[^\n]*", "")
+BLOCK_COMMENT = r"(?s)/\*.*?\*/"
+LITERAL = r'"(?:\\[^\n]|[^"\\\n])*"|' + r"'(?:\\[^\n]|[^'\\\n])*'"
+#: What begins a comment to the line's end, by format.
+LINE_COMMENT = {"c": "//", "cpp": "//", "cpp_header": "//", "fortran": "!", "python": "#"}
+C_FAMILY = ("c", "cpp", "cpp_header")
+
+
+def masked_code(text: Column, format: Column) -> Column:
+    """A whole file's code without block comments (their line ends stay), then literals, then line comments, as its format has them."""
+    gaps = F.regexp_extract_all(text, F.lit(BLOCK_COMMENT), F.lit(0))
+    kept = F.transform(F.split(text, BLOCK_COMMENT, -1), lambda part, k: F.concat(part, F.regexp_replace(F.coalesce(F.get(gaps, k), F.lit("")), "[^\n]", "")))
+    out = F.regexp_replace(F.when(format.isin(*C_FAMILY), F.array_join(kept, "")).otherwise(text), LITERAL, "")
+    return F.coalesce(*[F.when(format == f, F.regexp_replace(out, mark + "[^\n]*", "")) for f, mark in LINE_COMMENT.items()], out)
 
 
 def citation_ids(text: Column) -> Column:

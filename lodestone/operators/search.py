@@ -67,13 +67,25 @@ def full_text_search(chunks: DataFrame, occurrences: DataFrame, query: str, limi
     return rows.withColumn("score", tied(score)).orderBy(F.desc("score"), "path", "line").limit(limit)
 
 
-def neighborhood(chunks: DataFrame, targets: DataFrame, radius: int = 2) -> DataFrame:
-    """For each target (doc_id, target_line): the 2 * radius + 1 chunks of its document that are nearest by line."""
-    near = chunks.join(targets, "doc_id").withColumn("distance", F.abs(F.col("line") - F.col("target_line")))
+def neighborhood(chunks: DataFrame, targets: DataFrame, radius: int = 2, classes=("public", "lab")) -> DataFrame:
+    """For each target (doc_id, target_line): the 2 * radius + 1 chunks of its document, if it is allowed, that are nearest by line."""
+    near = allowed(chunks, classes).join(targets, "doc_id").withColumn("distance", F.abs(F.col("line") - F.col("target_line")))
     w = Window.partitionBy("doc_id", "target_line").orderBy("distance", "line")
     return near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 2 * radius + 1).withColumn("score", (1000 - F.col("r")).cast("double"))
 
 
+def in_scope(rows: DataFrame, scopes: list[tuple[str, str | None]], path_prefix: str | None = None) -> DataFrame:
+    """Rows of one of the scopes (project, branch; None is any branch), and below a path (compared as it stands, no pattern)."""
+    if not scopes:
+        rows = rows.limit(0)
+    else:
+        hit = F.lit(False)
+        for project, branch in scopes:
+            hit = hit | ((F.col("project") == project) & (F.lit(True) if branch is None else F.col("branch").eqNullSafe(F.lit(branch))))
+        rows = rows.filter(hit)
+    return rows if path_prefix is None else rows.filter(F.col("path").startswith(path_prefix))
+
+
 def by_ids(chunks: DataFrame, ids: list[str], classes=("public", "lab")) -> DataFrame:
     """Chunks by a list of at most 200 ids, in its order."""
     if len(ids) > 200:
@@ -88,9 +100,10 @@ def cosine(vector: Column, query: list[float]) -> Column:
     return dot(vector, q) / F.sqrt(dot(vector, vector)) / F.lit(sum(x * x for x in query) ** 0.5)
 
 
-def nearest(vectors: DataFrame, query: list[float], limit: int) -> DataFrame:
-    """Exact nearest neighbours by cosine: one scan and a top-k per task."""
-    return vectors.withColumn("score", tied(cosine(F.col("embedding"), query))).orderBy(F.desc("score"), "doc_id").limit(limit)
+def nearest(vectors: DataFrame, documents: DataFrame, query: list[float], limit: int, classes=("public", "lab")) -> DataFrame:
+    """Exact nearest neighbours by cosine among the vectors of allowed documents: one scan and a top-k per task."""
+    seen = vectors.join(allowed(documents, classes).select("doc_id"), "doc_id", "left_semi")
+    return seen.withColumn("score", tied(cosine(F.col("embedding"), query))).orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
 def reciprocal_rank_fusion(lists: list[DataFrame], key: str, k: int = 60) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.ids import slug, stable_id, tied
+from lodestone.functions import text
 from lodestone.functions.text import bounded, citation_ids, leaf_name
 from lodestone.operators import access, answers, chunking, graph, rollups, search
 from lodestone.sources import corpus
@@ -88,7 +89,7 @@ def search_by_ids(d, o, c, spark, sf_dir):
 
 @query("""
 , t as (select doc_id, max(line) as target_line from chunks group by doc_id)
-select chunk_id, line, r, 1000.0 - r as score from (select chunk_id, line, cast(row_number() over (partition by c.doc_id order by abs(line - target_line), line) as int) as r from chunks c join t on c.doc_id = t.doc_id) where r <= 5
+select chunk_id, line, r, 1000.0 - r as score from (select chunk_id, line, cast(row_number() over (partition by c.doc_id order by abs(line - target_line), line) as int) as r from chunks c join t on c.doc_id = t.doc_id where access_class in ('public', 'lab')) where r <= 5
 """)
 def chunk_neighborhood(d, o, c, spark, sf_dir):
     return search.neighborhood(c, c.groupBy("doc_id").agg(F.max("line").alias("target_line"))).select("chunk_id", "line", "r", "score")
@@ -105,7 +106,7 @@ def occurrence_rollup(d, o, c, spark, sf_dir):
 
 
 _COS = "list_dot_product(cast(embedding as double[]), q) / sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[]))) / sqrt(list_dot_product(q, q))"
-_KNN = f", qv as (select cast(embedding as double[]) as q from embeddings where vec_id = {VECTOR}), knn as (select vec_id as doc_id, {_grid(_COS)} as score from embeddings, qv)"
+_KNN = f", qv as (select cast(embedding as double[]) as q from embeddings where vec_id = {VECTOR}), knn as (select vec_id as doc_id, {_grid(_COS)} as score from embeddings, qv where vec_id in (select doc_id from docs where access_class in ('public', 'lab')))"
 
 
 def _vector(spark, sf_dir) -> list[float]:
@@ -114,7 +115,7 @@ def _vector(spark, sf_dir) -> list[float]:
 
 @query(_KNN + "select doc_id, round(score, 4) as score from knn order by knn.score desc, doc_id limit 10")
 def knn_cosine(d, o, c, spark, sf_dir):
-    return search.nearest(corpus.vectors(spark, sf_dir), _vector(spark, sf_dir), 10).select("doc_id", F.round("score", 4).alias("score"))
+    return search.nearest(corpus.vectors(spark, sf_dir), d, _vector(spark, sf_dir), 10).select("doc_id", F.round("score", 4).alias("score"))
 
 
 @query(_LEX + _KNN + """
@@ -127,7 +128,7 @@ def rrf_hybrid(d, o, c, spark, sf_dir):
     from pyspark.sql import Window
 
     lex = search.lexical_matches(c, o, QUERY).groupBy("doc_id").agg(F.max("score").alias("s")).orderBy(F.desc("s"), "doc_id").limit(50)
-    sem = search.nearest(corpus.vectors(spark, sf_dir), _vector(spark, sf_dir), 50)
+    sem = search.nearest(corpus.vectors(spark, sf_dir), d, _vector(spark, sf_dir), 50)
     ranked = lambda x, s: x.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(s), "doc_id")))  # noqa: E731  of 50 rows
     fused = search.reciprocal_rank_fusion([ranked(lex, "s"), ranked(sem, "score")], "doc_id")
     return fused.select("doc_id", tied(F.col("rrf")).alias("rrf"), "n_lists")
@@ -257,7 +258,7 @@ def heading_sections(d, o, c, spark, sf_dir):
     return chunking.heading_sections(marked)
 
 
-_SYM = ", sym as (select doc_id, repository_id, path, trim(split_part(split_part(text, ' ', 1), '.', 1)) as name, repository_id || '::' || trim(split_part(split_part(text, ' ', 1), '.', 1)) as qualified_name, line from (select *, row_number() over (partition by doc_id order by line) as r from chunks) where r = 1)"
+_SYM = ", sym as (select doc_id, repository_id, path, access_class, trim(split_part(split_part(text, ' ', 1), '.', 1)) as name, repository_id || '::' || trim(split_part(split_part(text, ' ', 1), '.', 1)) as qualified_name, line from (select *, row_number() over (partition by doc_id order by line) as r from chunks) where r = 1)"
 _REL = _SYM + """
 , calls as (select doc_id, repository_id, line, split_part(split_part(text, ' ', 1), '.', 1) as leaf from (select *, row_number() over (partition by doc_id order by line) as r from chunks) where r > 1)
 , nn as (select repository_id, lower(name) as l, count(distinct doc_id) as n from sym group by 1, 2)
@@ -270,7 +271,7 @@ _REL = _SYM + """
 def _symbols(c):
     one = rollups.first_by(c, ["doc_id"], [F.col("line")])
     name = F.trim(F.substring_index(F.substring_index("text", " ", 1), ".", 1))
-    return one.select("doc_id", "repository_id", "path", name.alias("name"), F.concat("repository_id", F.lit("::"), name).alias("qualified_name"), "line")
+    return one.select("doc_id", "repository_id", "path", "access_class", name.alias("name"), F.concat("repository_id", F.lit("::"), name).alias("qualified_name"), "line")
 
 
 def _relations(o, c):
@@ -292,20 +293,21 @@ def relation_kind_counts(d, o, c, spark, sf_dir):
 
 
 @query(_SYM + f"""
-select s.doc_id, name, {_grid("(case when lower(qualified_name) = 'the' then 20 when lower(name) = 'the' then 16 else 8 end) + (case when contains(lower(path), 'the') then 4 else 0 end) + (case when canonical then 0.25 else 0 end)")} as score from sym s join pref p on s.doc_id = p.doc_id where contains(lower(qualified_name), 'the') order by score desc, path, line, s.doc_id limit 10
+select s.doc_id, name, {_grid("(case when lower(qualified_name) = 'the' then 20 when lower(name) = 'the' then 16 else 8 end) + (case when contains(lower(path), 'the') then 4 else 0 end) + (case when canonical then 0.25 else 0 end)")} as score from sym s join pref p on s.doc_id = p.doc_id where access_class in ('public', 'lab') and contains(lower(qualified_name), 'the') order by score desc, path, line, s.doc_id limit 10
 """)
 def symbol_search(d, o, c, spark, sf_dir):
     return graph.symbol_search(_symbols(c).join(access.preferred_occurrence(o), "doc_id"), "the").select("doc_id", "name", "score")
 
 
 @query(_REL + """
-select r.doc_id, r.line, leaf, resolution, coalesce(case when t.access_class in ('public', 'lab') then target_doc end, -1) as target_doc, case when t.access_class in ('public', 'lab') then t.path end as target_path, case when lower(leaf) = 'the' then 20.0 else 8.0 end as score from rel r left join docs t on r.target_doc = t.doc_id where contains(lower(leaf), 'the') order by score desc, r.doc_id, r.line, leaf, case when t.access_class in ('public', 'lab') then target_doc end nulls last, resolution limit 10
+select r.doc_id, r.line, leaf, resolution, coalesce(case when t.access_class in ('public', 'lab') then target_doc end, -1) as target_doc, case when t.access_class in ('public', 'lab') then t.path end as target_path, case when lower(leaf) = 'the' then 20.0 else 8.0 end as score from rel r join docs s on r.doc_id = s.doc_id left join docs t on r.target_doc = t.doc_id where s.access_class in ('public', 'lab') and contains(lower(leaf), 'the') order by score desc, r.doc_id, r.line, leaf, case when t.access_class in ('public', 'lab') then target_doc end nulls last, resolution limit 10
 """)
 def relation_search(d, o, c, spark, sf_dir):
     return graph.relation_search(_relations(o, c), d, "the").na.fill(-1, ["target_doc"])
 
 
-_HUB = "(select min(target_doc) from (select target_doc, count(*) as n from rel where target_doc is not null group by 1) where n = (select max(n) from (select count(*) as n from rel where target_doc is not null group by target_doc)))"
+_VIS = _REL + ", vis as (select rel.* from rel join docs s on rel.doc_id = s.doc_id left join docs t on rel.target_doc = t.doc_id where s.access_class in ('public', 'lab') and (rel.target_doc is null or t.access_class in ('public', 'lab')))"
+_HUB = "(select min(target_doc) from (select target_doc, count(*) as n from vis where target_doc is not null group by 1) where n = (select max(n) from (select count(*) as n from vis where target_doc is not null group by target_doc)))"
 
 
 def _hub(rel):
@@ -313,24 +315,24 @@ def _hub(rel):
     return rel.filter("target_doc is not null").groupBy("target_doc").count().orderBy(F.desc("count"), "target_doc").first()[0]
 
 
-@query(_REL + f"select doc_id, min(line) as line, count(*) as calls from rel where target_doc = {_HUB} group by 1")
+@query(_VIS + f"select doc_id, min(line) as line, count(*) as calls from vis where target_doc = {_HUB} group by 1")
 def callers(d, o, c, spark, sf_dir):
-    rel = _relations(o, c)
+    rel = graph.visible(_relations(o, c), d)
     return graph.callers(rel, _hub(rel))
 
 
-@query(_REL + f"select target_doc, min(line) as line, count(*) as calls from rel where doc_id = {_HUB} and target_doc is not null group by 1")
+@query(_VIS + f"select target_doc, min(line) as line, count(*) as calls from vis where doc_id = {_HUB} and target_doc is not null group by 1")
 def callees(d, o, c, spark, sf_dir):
-    rel = _relations(o, c)
+    rel = graph.visible(_relations(o, c), d)
     return graph.callees(rel, _hub(rel))
 
 
-@query(_REL + f"""
-, both_ends as (select doc_id as other, 0 as priority, line from rel where target_doc = {_HUB} union all select target_doc, 1, line from rel where doc_id = {_HUB} and target_doc is not null)
+@query(_VIS + f"""
+, both_ends as (select doc_id as other, 0 as priority, line from vis where target_doc = {_HUB} union all select target_doc, 1, line from vis where doc_id = {_HUB} and target_doc is not null)
 select other, priority, line from (select *, row_number() over (partition by other order by priority, line) as r from both_ends where other <> {_HUB}) where r = 1
 """)
 def related_chunks(d, o, c, spark, sf_dir):
-    rel = _relations(o, c)
+    rel = graph.visible(_relations(o, c), d)
     return graph.related(rel, _hub(rel))
 
 
@@ -345,17 +347,42 @@ def symbol_islands(d, o, c, spark, sf_dir):
     return graph.symbol_islands(w)
 
 
-CODE = (
-    (1, "app/main.cpp", "cpp", 1, '#include "engine/core.hpp"'), (1, "app/main.cpp", "cpp", 2, "int run(){ core->start(); Clock::tick(); helper(1); }"), (1, "app/main.cpp", "cpp", 3, '// fake() and "fake(" if (x) done("call(2)");'), (1, "app/main.cpp", "cpp", 4, '#include "engine/core.hpp"'),
-    (2, "app/engine/core.cpp", "cpp", 1, '#include "core.hpp"'), (2, "app/engine/core.cpp", "cpp", 2, "void Core::start(){ thing.go(); alpha.go(); }"), (3, "app/engine/core.hpp", "cpp_header", 1, "class Core { void start(); };"),
-    (4, "num/step.f90", "fortran", 1, "use iso_c_binding"), (5, "CMakeLists.txt", "cmake", 1, "add_subdirectory(app)"), (6, "tools/env.sh", "shell", 1, "source ${HOME}/lib.sh"), (7, "tools/r.py", "python", 1, "import os"), (7, "tools/r.py", "python", 2, "from engine.core import x"), (8, "lib/beta.cpp", "cpp", 1, '#include "${DIR}/core.hpp"'),
+FILES = (
+    (1, "app/main.cpp", "cpp", '#include "engine/core.hpp"\n/* old( );\n * x * f(1)\n */\nint run()\n{ core->start(); Clock::tick(); helper(1);\n  // fake() and "fake("\n  if (x) done("call(2)", \'q(1)\', "a\\"b(3)"); run(); new_one(4);\n}\n#include "engine/core.hpp"'),
+    (2, "app/engine/core.cpp", "cpp", '#include "core.hpp"\nvoid Core::start(){ thing.go(); alphaGo.go(); }\nvoid Core::step() { Clock::tick(); sizeof(int); }\nvoid tools::Clock::tick() {}'),
+    (3, "app/engine/core.hpp", "cpp_header", "class Core { void start(); };\nenum class Mode { a };\nstruct Clock;"),
+    (4, "num/step.f90", "fortran", "module steps\nuse iso_c_binding\nsubroutine advance(x)\n  call helper(x) ! call never(1)\n  y = f(\'call no(1)\')\nend subroutine\nmodule procedure p"),
+    (5, "CMakeLists.txt", "cmake", "add_subdirectory(app)\nfunction(helper a)\nendfunction()\nMACRO( tool )"),
+    (6, "tools/env.sh", "shell", "source ${HOME}/lib.sh\nsetup() {\n  run\n}\nfunction stop {"),
+    (7, "tools/r.py", "python", "import os\nfrom engine.core import x"),
+    (8, "lib/alpha.cpp", "cpp", '#include "${DIR}/core.hpp"\nint AlphaGo::go() { return 1; }\nvoid Beta::go()\n{ go(); done(); }\nvoid done(int a) { }'),
 )
-_CODE = "with code(doc_id, path, format, line, text) as (values " + ", ".join("(" + ", ".join(repr(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in row) + ")" for row in CODE) + ")"
+_quoted = lambda x: str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+_FILES = "with files(doc_id, path, format, text) as (values " + ", ".join("(" + ", ".join(map(_quoted, row)) + ")" for row in FILES) + ")"
+_C = "format in ('c', 'cpp', 'cpp_header')"
+_CODE = _FILES + f"""
+, parts as (select *, string_split_regex(text, '{text.BLOCK_COMMENT}') as p, regexp_extract_all(text, '{text.BLOCK_COMMENT}') as g from files)
+, kept as (select doc_id, path, format, text, case when {_C} then array_to_string(list_transform(range(1, len(p) + 1), lambda k: p[k] || regexp_replace(coalesce(g[k], ''), '[^\n]', '', 'g')), '') else text end as t from parts)
+, bare as (select *, regexp_replace(t, {_quoted(text.LITERAL)}, '', 'g') as u from kept)
+, masked as (select *, case {" ".join(f"when format = '{f}' then regexp_replace(u, '{m}[^\n]*', '', 'g')" for f, m in text.LINE_COMMENT.items())} else u end as m from bare)
+, code as (select doc_id, path, format, cast(k as int) as line, string_split(text, chr(10))[k] as text, string_split(m, chr(10))[k] as masked from (select *, unnest(range(1, len(string_split(text, chr(10))) + 1)) as k from masked))
+, anchors as (select doc_id, line, a.title as title, a.kind as kind from (select doc_id, line, coalesce({", ".join(f"case when format in ({', '.join(map(repr, f))}) and regexp_extract(text, {_quoted(pat)}, {1 if k else 2}) <> '' and not regexp_matches(text, '{graph.NO_ANCHOR}') then {{'title': regexp_extract(text, {_quoted(pat)}, {1 if k else 2}), 'kind': {repr(k) if k else f'lower(regexp_extract(text, {_quoted(pat)}, 1))'}}} end" for f, k, pat in graph.ANCHORS)}) as a from code) where a is not null and lower(a.title) not in {graph.CONTROL_WORDS})
+"""
 _REFS = ", refs as (select doc_id, kind, target, min(line) as line from (" + " union all ".join(f"select doc_id, line, '{k}' as kind, regexp_extract(text, '{p}', 1) as target from code where format in ({', '.join(map(repr, f))})" for k, f, p in graph.REFERENCES) + ") where target <> '' group by 1, 2, 3)"
 
 
 def _code(spark):
-    return spark.createDataFrame(list(CODE), "doc_id long, path string, format string, line int, text string")
+    return graph.code_lines(spark.createDataFrame(list(FILES), "doc_id long, path string, format string, text string"))
+
+
+@query(_CODE + "select doc_id, line, masked from code", pre=False)
+def masked_lines(d, o, c, spark, sf_dir):
+    return _code(spark).select("doc_id", "line", "masked")
+
+
+@query(_CODE + "select * from anchors", pre=False)
+def code_anchors(d, o, c, spark, sf_dir):
+    return graph.anchors(_code(spark))
 
 
 @query(_CODE + _REFS + " select * from refs", pre=False)
@@ -373,15 +400,68 @@ def reference_resolution(d, o, c, spark, sf_dir):
     return graph.resolve_paths(graph.references(code), code.select("doc_id", "path").distinct()).na.fill(-1, ["target_doc"])
 
 
-@query(_CODE + f"""
-, m as (select doc_id, line, regexp_replace(regexp_replace(regexp_replace(text, '/\\*[^*\\n]*\\*/', ' ', 'g'), '"[^"\\n]*"', '""', 'g'), '//[^\\n]*', '', 'g') as t from code)
-, t as (select doc_id, line, unnest(list_distinct(regexp_extract_all(t, '{graph.CALL}', 1))) as target from m)
-select doc_id, line, target, regexp_extract(target, '([^:>.]+)$', 1) as leaf from t where target not in ({', '.join(map(repr, graph.STOP_WORDS))})
-""", pre=False)
+_CALLS = f"""
+, named as (select code.*, title, kind from code left join anchors using (doc_id, line))
+, w as (select *, count(title) over o as part, lower(trim(split_part(last_value(title ignore nulls) over o, '::', -1))) as own, last_value(kind ignore nulls) over o as k from named window o as (partition by doc_id order by line rows between unbounded preceding and current row))
+, b as (select *, not {_C} or coalesce(max(contains(masked, '{{')) over (partition by doc_id, part order by line rows between unbounded preceding and 1 preceding), false) as began from w)
+, t as (select *, unnest(list_distinct(case when format = 'fortran' then list_concat(regexp_extract_all(masked, '{graph.FORTRAN_CALL}', 1), regexp_extract_all(masked, '{graph.CALL}', 1)) else regexp_extract_all(masked, '{graph.CALL}', 1) end)) as target from b where k in {graph.CALLING} and format in {graph.CALL_FORMATS})
+, u as (select *, lower(regexp_extract(target, '([^:>.]+)$', 1)) as leaf, instr(masked, '{{') as brace, instr(masked, target) as col from t)
+, calls as (select doc_id, line, target, leaf from u where leaf not in {graph.STOP_WORDS} and not coalesce(leaf = own and ((not began and (brace = 0 or col < brace)) or regexp_matches(masked, '{graph.DEFINITION}')), false))
+"""
+
+
+@query(_CODE + _CALLS + "select * from calls", pre=False)
 def call_tokens(d, o, c, spark, sf_dir):
     return graph.call_tokens(_code(spark))
 
 
+_terms = lambda x: f"list_distinct(list_filter(regexp_extract_all(lower(regexp_replace(regexp_replace({x}, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[a-z0-9]+'), lambda x: length(x) >= 2 and x not in ('self', 'this')))"
+
+
+@query(_CODE + _CALLS + f"""
+, sym as (select doc_id as target_doc, title as qualified_name, lower(trim(split_part(title, '::', -1))) as leaf from anchors where kind in ('function', 'macro', 'subroutine'))
+, x as (select *, contains(target, '::') and ends_with(lower(qualified_name), lower(target)) as exact, {_terms("regexp_replace(regexp_extract(target, '^(.*?)(?:::|->|\\.)[^:>.]+$', 1), '::|->|\\.', ' ', 'g')")} as r, {_terms("regexp_extract(qualified_name, '^(.*)::[^:]*$', 1)")} as o from calls join sym using (leaf))
+, y as (select *, case when len(o) = 0 then 0.0 else len(list_intersect(r, o)) / len(o) end as part from x)
+, z as (select *, max(exact) over w as some, count(*) over w as n, max(part) over w as most from y window w as (partition by doc_id, line, target))
+select doc_id, line, target, leaf, target_doc, qualified_name, case when some then 'exact_qualified' when n = 1 then 'unique_name' when most > 0 then 'receiver_hint' else 'branch_unique' end as resolution from z where case when some then exact when n = 1 then true when most > 0 then part = most else true end
+""", pre=False)
+def call_candidates(d, o, c, spark, sf_dir):
+    lines = _code(spark)
+    symbols = graph.anchors(lines).filter("kind in ('function', 'macro', 'subroutine')").withColumnRenamed("title", "qualified_name")
+    return graph.call_candidates(graph.call_tokens(lines), symbols)
+
+
+_scoped = "((project = 'P1' and branch = 'main') or project = 'P3')"
+
+
+@query(f"select c.chunk_id, project, branch from chunks c join pref p on c.doc_id = p.doc_id where access_class in ('public', 'lab') and {_scoped} and starts_with(path, 'en/src')")
+def scope_filter(d, o, c, spark, sf_dir):
+    rows = access.allowed(c, ("public", "lab")).join(access.preferred_occurrence(o), "doc_id")
+    return search.in_scope(rows, [("P1", "main"), ("P3", None)], "en/src").select("chunk_id", "project", "branch")
+
+
+@query(_REL + """
+, s as (select case when lower(qualified_name) = 'the' then 20.0 when lower(name) = 'the' then 16.0 else 8.0 end as score, 'symbol' as result_type, 's' || doc_id as item_id, path, line from sym where access_class in ('public', 'lab') and contains(lower(qualified_name), 'the'))
+, r as (select case when lower(leaf) = 'the' then 20.0 else 8.0 end as score, 'relation' as result_type, 'r' || r.doc_id || ':' || line || ':' || leaf || ':' || coalesce(target_doc, -1) as item_id, path, line from rel r join docs d on r.doc_id = d.doc_id where access_class in ('public', 'lab') and contains(lower(leaf), 'the'))
+select * from (select * from s union all select * from r) order by score desc, path, line, item_id limit 10
+""")
+def semantic_map_search(d, o, c, spark, sf_dir):
+    q, seen = "the", access.allowed(d, ("public", "lab")).select("doc_id", "path")
+    s = access.allowed(_symbols(c), ("public", "lab")).filter(F.lower("qualified_name").contains(q))
+    s = s.select(F.when(F.lower("qualified_name") == q, 20.0).when(F.lower("name") == q, 16.0).otherwise(8.0).alias("score"), F.concat(F.lit("s"), "doc_id").alias("item_id"), "path", "line")
+    r = _relations(o, c).filter(F.lower("leaf").contains(q)).join(seen, "doc_id")
+    r = r.select(F.when(F.lower("leaf") == q, 20.0).otherwise(8.0).alias("score"), F.concat(F.lit("r"), "doc_id", F.lit(":"), "line", F.lit(":"), "leaf", F.lit(":"), F.coalesce("target_doc", F.lit(-1))).alias("item_id"), "path", "line")
+    return graph.search_map(s, r)
+
+
+@query(_REL + """
+select coalesce(s.repository_id, r.repository_id) as repository_id, coalesce(symbols, 0) as symbols, coalesce(relations, 0) as relations, coalesce(resolved, 0) as resolved
+from (select repository_id, count(*) as symbols from sym group by 1) s full join (select repository_id, count(*) as relations, count(target_doc) as resolved from rel join docs using (doc_id) group by 1) r on s.repository_id = r.repository_id
+""")
+def semantic_map_status(d, o, c, spark, sf_dir):
+    return graph.map_status(_symbols(c), _relations(o, c).join(d.select("doc_id", "repository_id"), "doc_id"))
+
+
 @query("""
 , k as (select doc_id, repository_id, repository_id || doc_id // 60 as p, format, access_class from docs)
 , pairs as (select a.doc_id as source_doc, b.doc_id as header_doc, a.access_class as x, b.access_class as y from k a join k b on a.p = b.p and a.repository_id = b.repository_id and a.format = 'cpp' and b.format = 'f90')

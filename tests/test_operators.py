@@ -1,5 +1,7 @@
 """Operators that SQL does not express, against plain loops."""
 
+import pytest
+
 import random
 
 from lodestone.operators import answers, chunking, search
@@ -73,13 +75,48 @@ def test_normalized():
 
 
 def test_incremental_equals_batch(spark, tmp_path):
-    from lodestone.streaming.incremental import current, index_available
+    from lodestone.streaming.incremental import current, index_available, merge
 
     source, folder = f"{tmp_path}/in", f"{tmp_path}/out"
-    one = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    kind = "id long, v string, ts long"
+    one = spark.createDataFrame([(1, "a", 1), (2, "b", 1), *[(k, "old", 1) for k in range(10, 40)], *[(k, "new", 2) for k in range(10, 40)], (4, "none", None)], kind)
     one.coalesce(1).write.parquet(source)
-    index_available(spark, source, one.schema, folder, "id")
-    spark.createDataFrame([(2, "c"), (3, "d")], "id long, v string").coalesce(1).write.mode("append").parquet(source)
-    index_available(spark, source, one.schema, folder, "id")
-    index_available(spark, source, one.schema, folder, "id")
-    assert sorted(map(tuple, current(spark, folder).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    index_available(spark, source, one.schema, folder, "id", "ts")
+    spark.createDataFrame([(2, "c", 2), (3, "d", 1), (10, "older", 1), (4, "some", 0)], kind).coalesce(1).write.mode("append").parquet(source)
+    index_available(spark, source, one.schema, folder, "id", "ts")
+    index_available(spark, source, one.schema, folder, "id", "ts")
+    got = sorted((r.id, r.v) for r in current(spark, folder).collect())
+    assert got == [(1, "a"), (2, "c"), (3, "d"), (4, "some"), *[(k, "new") for k in range(10, 40)]]
+    with pytest.raises(ValueError):
+        merge(spark, folder, one, "id", "no such column", 99)
+
+
+def test_files(spark, tmp_path):
+    from lodestone.sources import files
+
+    root = tmp_path / "tree.d"
+    (root / "a").mkdir(parents=True)
+    (root / "a/x.txt").write_bytes("é".encode())
+    (root / "y.bin").write_bytes(b"\xff\xfe")
+    tree = files.file_tree(spark, f"file://{root}")
+    found = {r.path: r for r in files.decoded(tree).collect()}
+    assert sorted(found) == ["a/x.txt", "y.bin"] and found["a/x.txt"].text == "é"
+    assert (found["a/x.txt"].encoding, found["y.bin"].encoding) == ("utf-8", "utf-8-replace")
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id long, v string")
+    files.write_json_lines(rows, f"{tmp_path}/j")
+    assert sorted(map(tuple, files.read_json_lines(spark, f"{tmp_path}/j", rows.schema).collect())) == [(1, "a"), (2, None)]
+    (tmp_path / "bad.json").write_text('{"id": "x"}\n')
+    with pytest.raises(Exception):
+        files.read_json_lines(spark, f"{tmp_path}/bad.json", rows.schema).collect()
+
+
+@pytest.mark.parametrize("name", ["knn_cosine", "rrf_hybrid", "callers", "callees", "related_chunks", "symbol_search", "chunk_neighborhood", "lexical_search", "full_text_search", "search_by_ids", "relation_search", "scope_filter"])
+def test_no_query_returns_what_is_not_allowed(spark, name):
+    from lodestone.plans.registry import QUERIES
+    from lodestone.sources import corpus
+
+    sf = "/root/testdata/sf0.01"
+    classes = {r.doc_id: r.access_class for r in corpus.documents(spark, sf).select("doc_id", "access_class").collect()}
+    for r in QUERIES[name](spark, sf).collect():
+        ids = [r[c] for c in ("doc_id", "target_doc", "other") if c in r and r[c] not in (None, -1)] + [int(str(r["chunk_id"]).split(":")[0]) for _ in range("chunk_id" in r)]
+        assert {classes[i] for i in ids} <= {"public", "lab"}
