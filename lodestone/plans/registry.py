@@ -422,8 +422,8 @@ _terms = lambda x: f"list_distinct(list_filter(regexp_extract_all(lower(regexp_r
 , sym as (select doc_id as target_doc, title as qualified_name, lower(trim(split_part(title, '::', -1))) as leaf from anchors where kind in ('function', 'macro', 'subroutine'))
 , x as (select *, contains(target, '::') and ends_with(lower(qualified_name), lower(target)) as exact, {_terms("regexp_replace(regexp_extract(target, '^(.*?)(?:::|->|\\.)[^:>.]+$', 1), '::|->|\\.', ' ', 'g')")} as r, {_terms("regexp_extract(qualified_name, '^(.*)::[^:]*$', 1)")} as o from calls join sym using (leaf))
 , y as (select *, case when len(o) = 0 then 0.0 else len(list_intersect(r, o)) / len(o) end as part from x)
-, z as (select *, max(exact) over w as some, count(*) over w as n, max(part) over w as most from y window w as (partition by doc_id, line, target))
-select doc_id, line, target, leaf, target_doc, qualified_name, case when some then 'exact_qualified' when n = 1 then 'unique_name' when most > 0 then 'receiver_hint' else 'branch_unique' end as resolution from z where case when some then exact when n = 1 then true when most > 0 then part = most else true end
+, z as (select *, max(exact) over w as any_exact, count(*) over w as n, max(part) over w as most from y window w as (partition by doc_id, line, target))
+select doc_id, line, target, leaf, target_doc, qualified_name, case when any_exact then 'exact_qualified' when n = 1 then 'unique_name' when most > 0 then 'receiver_hint' else 'branch_unique' end as resolution from z where case when any_exact then exact when n = 1 then true when most > 0 then part = most else true end
 """, pre=False)
 def call_candidates(d, o, c, spark, sf_dir):
     lines = _code(spark)
