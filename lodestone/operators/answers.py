@@ -119,3 +119,31 @@ def term_rarity(chunks: DataFrame) -> DataFrame:
     words = chunks.select("doc_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: F.length(x) >= 4))).alias("term")).groupBy("term").agg(F.countDistinct("doc_id").alias("df"))
     n = chunks.agg(F.countDistinct("doc_id").alias("n"))  # one row
     return words.join(F.broadcast(n)).select("term", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("rarity"))
+
+
+#: Phrases that give the indexed projects out as all there are.
+OVERCLAIMS = r"\b(projetos principais|principais projetos|unicos projetos|main projects|principal projects|only projects|complete set of projects)\b"
+SENTENCE_END = r"([.!?])(?:\s+(\[\s*S\d+\s*(?:[,;]\s*S\d+\s*)*\]))?(?:\s+([`*_>(\[]*[A-ZÀ-ÖØ-Þ0-9])|$)"
+
+
+def overclaims(text: Column) -> Column:
+    """Whether an overview claims more than the scope: over words in small letters without marks."""
+    plain = F.regexp_replace(F.translate(F.lower(text), "áàâãäçéèêëíìîïñóòôõöúùûü", "aaaaaceeeeiiiinooooouuuu"), "[^a-z0-9]+", " ")
+    return plain.rlike(OVERCLAIMS)
+
+
+def atomic_claims(units: DataFrame) -> DataFrame:
+    """unit_id, p, claim: the sentences of units (unit_id, text). Where only the last one has citations, all others inherit them."""
+    parts = F.filter(F.transform(F.split(F.regexp_replace("text", SENTENCE_END, "$1 $2\n$3"), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    ids = lambda x: citation_ids(x)
+    rows = units.select("unit_id", F.when(F.size(parts) > 0, parts).otherwise(F.array(F.trim("text"))).alias("parts"))
+    rows = rows.withColumns({"_last": F.array_sort(F.array_distinct(ids(F.element_at("parts", -1)))), "_cited": F.size(F.filter("parts", lambda x: F.size(ids(x)) > 0))})
+    inherits = (F.size("parts") > 1) & (F.col("_cited") == 1) & (F.size("_last") > 0)
+    rows = rows.select("unit_id", inherits.alias("_inherits"), F.concat(F.lit(" ["), F.array_join("_last", ", "), F.lit("]")).alias("_suffix"), F.posexplode("parts").alias("p", "claim"))
+    return rows.select("unit_id", "p", F.when(F.col("_inherits") & (F.size(ids(F.col("claim"))) == 0), F.concat("claim", "_suffix")).otherwise(F.col("claim")).alias("claim"))
+
+
+def report(cases: DataFrame, by: str) -> DataFrame:
+    """Cases, passed, pass rate, mean duration and mean citation coverage of cases (passed, duration, coverage), by suite."""
+    passed = F.sum(F.col("passed").cast("long"))
+    return cases.groupBy(by).agg(F.count("*").alias("cases"), passed.alias("passed"), F.round(passed / F.count("*"), 6).alias("pass_rate"), F.round(F.avg("duration"), 4).alias("mean_duration"), F.round(F.avg("coverage"), 4).alias("mean_coverage"))

@@ -106,3 +106,24 @@ def latest(runs: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
 
 def first_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")
+
+
+def scoped_documents(docs: DataFrame, preferred: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Each document with its preferred occurrence and number of chunks; entry documents (at the root, readmes, Markdown up to two folders down) with their first chunk's title."""
+    n = chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.min_by("title", "line").alias("_title"))
+    depth = F.length("path") - F.length(F.replace(F.col("path"), F.lit("/"), F.lit("")))
+    entry = (depth == 0) | F.lower(file_name(F.col("path"))).startswith("readme") | ((F.col("format") == "md") & (depth <= 2))
+    rows = docs.join(preferred, "doc_id").join(n, "doc_id", "left")
+    return rows.select("doc_id", "repository_id", "path", "branch", "canonical", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.when(entry, F.col("_title")).alias("anchor_title"))
+
+
+def structure_text(by_format: DataFrame, by_top: DataFrame) -> DataFrame:
+    """Each repository's layout as a short text: documents and chunks, the 12 commonest formats, the 16 largest entries at the top."""
+
+    def listed(rows: DataFrame, name: str, most: int) -> DataFrame:
+        own = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("documents")).alias("n"), F.col(name).alias("name")))), 1, most)
+        text = F.array_join(F.transform(own, lambda x: F.concat(x["name"], F.lit(" ("), -x["n"], F.lit(")"))), ", ")
+        return rows.groupBy("repository_id").agg(text.alias(name), F.sum("documents").alias("documents"), F.sum("chunks").alias("chunks"))
+
+    both = listed(by_format, "fmt", 12).join(listed(by_top, "top", 16).select("repository_id", "top"), "repository_id")
+    return both.select("repository_id", F.concat(F.lit("Documents: "), "documents", F.lit("; chunks: "), "chunks", F.lit("\nFormats: "), "fmt", F.lit("\nTop level: "), "top").alias("text"))

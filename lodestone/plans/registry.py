@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.ids import slug, stable_id, tied
-from lodestone.functions import text
+from lodestone.functions import ids, text
 from lodestone.functions.text import bounded, citation_ids, leaf_name
 from lodestone.operators import access, answers, chunking, graph, rollups, search
 from lodestone.sources import corpus
@@ -693,3 +693,64 @@ def compare_branches(d, o, c, spark, sf_dir):
     out = ahead.join(total, "repository_id", "left").withColumn("behind", F.coalesce("_total", F.lit(0)) - F.col("common"))
     a, b = F.col("ahead"), F.col("behind")
     return out.select("repository_id", "branch", "ahead", "behind", F.when(a == F.col("n"), "unrelated").when((a == 0) & (b == 0), "same_commit").when(a == 0, "merged").when(b == 0, "ahead").otherwise("diverged").alias("relation"))
+
+
+@query("""with r as (select page_id, case page_id % 4 when 0 then 'refs/heads/' when 1 then 'refs/remotes/origin/' when 2 then 'origin/' else '' end || url as ref from pages),
+b as (select page_id, regexp_replace(trim(ref), '^(refs/remotes/origin/|refs/heads/|origin/)', '') as branch from r),
+p as (select page_id, branch, list_transform(string_split(branch, '/'), lambda x: {'x': x, 's': coalesce(nullif(regexp_replace(regexp_replace(x, '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), ''), 'branch')}) as p from b)
+select page_id, branch, 'branches/' || array_to_string(list_transform(p, lambda y: case when y.s = y.x then y.x else y.s || '--' || substr(sha256(y.x), 1, 8) end), '/') || '.generated.yaml' as path from p""", pre=False)
+def branch_catalog_paths(d, o, c, spark, sf_dir):
+    prefix = F.when(F.col("page_id") % 4 == 0, "refs/heads/").when(F.col("page_id") % 4 == 1, "refs/remotes/origin/").when(F.col("page_id") % 4 == 2, "origin/").otherwise("")
+    rows = corpus.table(spark, sf_dir, "pages").select("page_id", ids.canonical_branch(F.concat(prefix, "url")).alias("branch"))
+    return rows.withColumn("path", ids.catalog_path(F.col("branch")))
+
+
+@query("""
+, n as (select doc_id, count(*) as chunks, arg_min(title, line) as title from chunks group by 1)
+select d.doc_id, d.repository_id, path, branch, canonical, coalesce(chunks, 0) as chunks, case when not contains(path, '/') or starts_with(lower(regexp_extract(path, '[^/]*$')), 'readme') or (format = 'md' and length(path) - length(replace(path, '/', '')) <= 2) then title end as anchor_title from docs d join pref p on d.doc_id = p.doc_id left join n on d.doc_id = n.doc_id
+""")
+def scoped_documents(d, o, c, spark, sf_dir):
+    return rollups.scoped_documents(d, access.preferred_occurrence(o).select("doc_id", "branch", "canonical"), c)
+
+
+@query("""
+, n as (select doc_id, count(*) as chunks from chunks group by 1)
+, f as (select repository_id, format as name, count(*) as documents, sum(coalesce(chunks, 0)) as chunks from docs left join n using (doc_id) group by 1, 2)
+, t as (select repository_id, string_split(path, '/')[1] as name, count(*) as documents from docs group by 1, 2)
+, fx as (select repository_id, string_agg(name || ' (' || documents || ')', ', ' order by documents desc, name) filter (r <= 12) as fmt, sum(documents) as documents, cast(sum(chunks) as bigint) as chunks from (select *, row_number() over (partition by repository_id order by documents desc, name) as r from f) group by 1)
+, tx as (select repository_id, string_agg(name || ' (' || documents || ')', ', ' order by documents desc, name) filter (r <= 16) as top from (select *, row_number() over (partition by repository_id order by documents desc, name) as r from t) group by 1)
+select repository_id, 'Documents: ' || documents || '; chunks: ' || chunks || chr(10) || 'Formats: ' || fmt || chr(10) || 'Top level: ' || top as text from fx join tx using (repository_id)
+""")
+def structure_sources(d, o, c, spark, sf_dir):
+    return rollups.structure_text(rollups.structure(d, c, F.col("format"), "fmt"), rollups.structure(d, c, F.substring_index("path", "/", 1), "top"))
+
+
+_SAID = "said as (select conv_id * 1000 + turn as unit_id, coalesce(text, '') || case when turn % 2 = 0 then ' See this. (And) that! 7 more [S' || (turn % 3 + 1) || ', S1].' else ' All main, projects? Not so. [S3] The Principais  projetos' end as text from conversations)"
+
+
+def _said(spark, sf_dir):
+    t = corpus.table(spark, sf_dir, "conversations")
+    end = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" See this. (And) that! 7 more [S"), F.col("turn") % 3 + 1, F.lit(", S1]."))).otherwise(" All main, projects? Not so. [S3] The Principais  projetos")
+    return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("unit_id"), F.concat(F.coalesce("text", F.lit("")), end).alias("text"))
+
+
+@query(f"""with {_SAID}
+, s as (select unit_id, text, list_filter(list_transform(string_split(regexp_replace(text, '{answers.SENTENCE_END}', '\\1 \\2' || chr(10) || '\\3', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') as parts from said)
+, t as (select unit_id, case when len(parts) > 0 then parts else [trim(text)] end as parts from s)
+, u as (select *, list_sort(list_distinct({_IDS_OF("parts[-1]")})) as tail, len(list_filter(parts, lambda x: len(regexp_extract_all(x, {_CITE})) > 0)) as n from t)
+, v as (select unit_id, len(parts) > 1 and n = 1 and len(tail) > 0 as inherits, ' [' || array_to_string(tail, ', ') || ']' as suffix, unnest(parts) as claim, unnest(range(0, len(parts))) as p from u)
+select unit_id, cast(p as int) as p, case when inherits and len(regexp_extract_all(claim, {_CITE})) = 0 then claim || suffix else claim end as claim from v
+""", pre=False)
+def atomic_claims(d, o, c, spark, sf_dir):
+    return answers.atomic_claims(_said(spark, sf_dir))
+
+
+@query(f"with {_SAID} select unit_id, regexp_matches(regexp_replace(translate(lower(text), 'áàâãäçéèêëíìîïñóòôõöúùûü', 'aaaaaceeeeiiiinooooouuuu'), '[^a-z0-9]+', ' ', 'g'), '{answers.OVERCLAIMS}') as overclaims from said", pre=False)
+def overview_overclaims(d, o, c, spark, sf_dir):
+    return _said(spark, sf_dir).select("unit_id", answers.overclaims(F.col("text")).alias("overclaims"))
+
+
+@query("select event_type as suite, count(*) as cases, count(*) filter (event_id % 3 <> 0) as passed, round(count(*) filter (event_id % 3 <> 0) / count(*), 6) as pass_rate, round(avg(value), 4) as mean_duration, round(avg(event_id % 10), 4) as mean_coverage from events group by 1", pre=False)
+def evaluation_report(d, o, c, spark, sf_dir):
+    cases = corpus.table(spark, sf_dir, "events").select(F.col("event_type").alias("suite"), (F.col("event_id") % 3 != 0).alias("passed"), F.col("value").alias("duration"), (F.col("event_id") % 10).alias("coverage"))
+    return answers.report(cases, "suite")
