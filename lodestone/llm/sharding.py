@@ -108,7 +108,10 @@ class ShardStore:
 
     def runs(self, manifest: dict) -> DataFrame:
         """The listed runs, as RUNS."""
-        return self.spark.read.schema(RUNS).parquet(f"{self.folder}/{manifest['runs']}") if manifest["runs"] else self.spark.createDataFrame([], RUNS)
+        return self.spark.read.schema(RUNS).parquet(f"{self.folder}/{manifest['runs']}") if manifest["runs"] else self._none(StructType.fromDDL(RUNS))
+
+    def _none(self, schema: StructType) -> DataFrame:
+        return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
 
     def _commit(self, runs: DataFrame, folders: list[str], schema: str, after: int) -> dict:
         name = f"runs-{uuid.uuid4().hex}"
@@ -119,7 +122,7 @@ class ShardStore:
         """Rows (doc, arrival, run, shard, folder) of these folders, whether their runs are listed or not."""
         kind = StructType.fromJson(json.loads(manifest["schema"])) if manifest["schema"] else StructType().add("doc_id", "long").add("text", "string")
         stored = StructType().add("doc", kind).add("arrival", "long").add("run", "long").add("shard", "string")
-        out = self.spark.createDataFrame([], StructType([*stored.fields]).add("folder", "string"))
+        out = self._none(StructType([*stored.fields]).add("folder", "string"))
         for name in folders:
             out = out.unionByName(self.spark.read.schema(stored).parquet(f"{self.folder}/{name}").select("doc", "arrival", "run", "shard", F.lit(name).alias("folder")))
         return out
