@@ -10,13 +10,13 @@ from pyspark.sql.types import StructType
 def file_tree(spark: SparkSession, root: str) -> DataFrame:
     """path (below root), size_bytes, content_hash and content of the files of a tree."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.regexp_replace(F.col("path"), r"^.*?" + root.rstrip("/").split(":")[-1].replace(".", r"\.") + "/", "")
+    base = F.regexp_replace(F.col("path"), r"^.*?\Q" + root.rstrip("/").split(":")[-1].lstrip("/") + r"\E/", "")
     return files.select(base.alias("path"), F.col("length").alias("size_bytes"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("content_hash"), "content")
 
 
 def decoded(files: DataFrame) -> DataFrame:
     """files with their text, and whether it is UTF-8 as it stands or with replacements."""
-    return files.withColumns({"text": F.decode("content", "UTF-8"), "encoding": F.when(F.expr("is_valid_utf8(cast(content as string))"), "utf-8").otherwise("utf-8-replace")}).drop("content")
+    return files.withColumns({"text": F.make_valid_utf8(F.col("content").cast("string")), "encoding": F.when(F.expr("is_valid_utf8(cast(content as string))"), "utf-8").otherwise("utf-8-replace")}).drop("content")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
