@@ -11,6 +11,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +23,30 @@ SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 SPLIT = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-CLOSED = r"[.!?:;)\]\"'…”»][\x20\x09-\x0D]*$"
+CLOSING = ".!?:;)]\"'…”»"
 MENU = r"^[\x20\x09-\x0D]*(home|menu|login|log in|sign in|sign up|search|contact|about|next|previous|back|accueil|connexion|recherche|startseite|anmelden|suche|inicio|buscar|contacto)([^a-z]|$)"
-BOILERPLATE = r"(cookie|all rights reserved|terms of (use|service)|privacy policy|licensed under|copyright|javascript|subscribe to|click here|lorem ipsum|tous droits réservés|mentions légales|cliquez ici|alle rechte vorbehalten|datenschutz|impressum|todos los derechos reservados|política de privacidad|haga clic)"
+BOILERPLATE = (
+    "cookie",
+    "all rights reserved",
+    "terms of use",
+    "terms of service",
+    "privacy policy",
+    "licensed under",
+    "copyright",
+    "javascript",
+    "subscribe to",
+    "click here",
+    "lorem ipsum",
+    "tous droits réservés",
+    "mentions légales",
+    "cliquez ici",
+    "alle rechte vorbehalten",
+    "datenschutz",
+    "impressum",
+    "todos los derechos reservados",
+    "política de privacidad",
+    "haga clic",
+)
 KEPT_TENTHS = 7
 
 
@@ -43,7 +67,7 @@ def repeat_words(words: Column) -> Column:
         return let(F.sort_array(F.filter(at, lambda i: i.isNotNull())), covered)
 
     def windows(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.lit("\x00"), F.get(w, i + 1), F.lit("\x00"), F.get(w, i + 2)))
+        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
 
     def count(h: Column) -> Column:
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), repeated))
@@ -51,34 +75,37 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(windows(words), count))
 
 
+def without(text: Column, what: str) -> Column:
+    """text without the characters of `what`, one search of bytes each (translate looks up every character)."""
+    return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), what, text)
+
+
 def _count(text: Column, what: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, what, ""))
+    return F.length(text) - F.length(without(text, what))
 
 
 def line_fails(line: Column, n: Column) -> Column:
     """Whether a line of n words fails a rule."""
-    low = F.lower(line)
     bangs = (F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("")))) / 2
     return (
-        ~line.rlike(CLOSED)
+        ~F.contains(F.lit(CLOSING), F.right(F.rtrim(line, F.lit(SPACE)), F.lit(1)))
         | (5 * _count(line, SYMBOLS) > n)
         | (10 * bangs > 3 * n)
         | (_count(line, "|") >= 2)
-        | ((n <= 10) & low.rlike(MENU))
-        | low.rlike(BOILERPLATE)
+        | let(F.lower(line), lambda low: ((n <= 10) & low.rlike(MENU)) | reduce(operator.or_, [F.contains(low, F.lit(phrase)) for phrase in BOILERPLATE]))
     )
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the base measures, base_failed, kept, n_kept_words, and clean_text: the lines that stay."""
     d = narrow(docs, "doc_id", "text").withColumn("t", F.coalesce("text", F.lit("")))
-    d = d.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0))
+    d = d.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: F.ltrim(x, F.lit(SPACE)) != ""))
     d = d.withColumn("w", F.filter(F.split("t", SPLIT), lambda x: x != ""))
-    kept = F.filter(F.transform("lines", lambda x: let(F.regexp_count(x, F.lit(WORD)), lambda n: F.when(~line_fails(x, n), F.struct(x.alias("x"), n.alias("n"))))), lambda x: x.isNotNull())
+    kept = F.filter(F.transform("lines", lambda x: let(F.size(F.split(F.trim(x, F.lit(SPACE)), SPLIT)), lambda n: F.when(~line_fails(x, n), F.struct(x.alias("x"), n.alias("n"))))), lambda x: x.isNotNull())
     d = d.select(
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
-        F.length(F.translate("t", SPACE, "")).cast("long").alias("word_chars"),
+        F.length(without(F.col("t"), SPACE)).cast("long").alias("word_chars"),
         _count(F.col("t"), SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("w")).cast("long").alias("n_repeat_words"),
@@ -99,7 +126,8 @@ def _sql_count(what: str) -> str:
 
 
 _CHARS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
-_QUOTED = {k: v.replace("'", "''") for k, v in {"closed": CLOSED, "menu": MENU, "boiler": BOILERPLATE}.items()}
+_CLOSED = r"[.!?:;)\]\"'…”»][\x20\x09-\x0D]*$"
+_QUOTED = {k: v.replace("'", "''") for k, v in {"closed": _CLOSED, "menu": MENU, "boiler": "|".join(BOILERPLATE)}.items()}
 SQL = rf"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 w as (select doc_id, t, regexp_extract_all(t, '{WORD}') as w from d),
