@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.ids import slug, stable_id, tied
 from lodestone.functions import ids, text
 from lodestone.functions.text import bounded, citation_ids, leaf_name
-from lodestone.operators import access, answers, chunking, graph, rollups, search
+from lodestone.operators import access, answers, chunking, graph, investigation, rollups, search
 from lodestone.sources import corpus
 from lodestone.sources.corpus import SQL as PRE
 
@@ -754,3 +754,79 @@ def overview_overclaims(d, o, c, spark, sf_dir):
 def evaluation_report(d, o, c, spark, sf_dir):
     cases = corpus.table(spark, sf_dir, "events").select(F.col("event_type").alias("suite"), (F.col("event_id") % 3 != 0).alias("passed"), F.col("value").alias("duration"), (F.col("event_id") % 10).alias("coverage"))
     return answers.report(cases, "suite")
+
+
+_TOOLS = ("find_callers", "find_callees", "open_related", "open_neighborhood", "search_text")
+
+
+@query(f"""
+, st as (select (['{"', '".join(_TOOLS)}'])[1 + line % 5] as tool, chunk_id as origin, lead(chunk_id, 1, chunk_id) over (partition by doc_id order by line) as result from chunks)
+, fr as (select tool, case when tool = 'find_callers' then result else origin end as f, case when tool = 'find_callers' then origin else result end as t from st where tool <> 'search_text' and origin <> result)
+select 'edge:' || substr(sha256(tool || chr(0) || f || chr(0) || t), 1, 20) as edge_id, 'chunk:' || f as source, 'chunk:' || t as target, case tool when 'open_related' then 'related' when 'open_neighborhood' then 'neighbor' else 'calls' end as kind, tool in ('find_callers', 'find_callees') as directed, tool from fr
+""")
+def traversal_edges(d, o, c, spark, sf_dir):
+    from pyspark.sql import Window
+
+    result = F.lead("chunk_id").over(Window.partitionBy("doc_id").orderBy("line"))
+    return investigation.traversal_edges(c.select(corpus.pick(F.col("line"), _TOOLS).alias("tool"), F.col("chunk_id").alias("origin"), F.coalesce(result, "chunk_id").alias("result")))
+
+
+@query(", sc(project, branch) as (values ('P0', null), ('P1', 'main'), ('P2', 'dev'), ('P2', 'main')) select d.doc_id, d.project, p.branch from docs d join pref p on d.doc_id = p.doc_id where exists (select 1 from sc where sc.project = d.project and (sc.branch is null or sc.branch = p.branch))")
+def scope_post_filter(d, o, c, spark, sf_dir):
+    scopes = spark.createDataFrame([("P0", None), ("P1", "main"), ("P2", "dev"), ("P2", "main")], "project string, branch string")
+    return investigation.in_scope(d.join(access.preferred_occurrence(o).select("doc_id", "branch"), "doc_id"), scopes).select("doc_id", "project", "branch")
+
+
+@query("""with w as (select conv_id as case_id, turn as aspect, unnest(string_split(text, ' ')) as chunk_id, unnest(range(1, len(string_split(text, ' ')) + 1)) as pos from conversations),
+k as (select case_id, chunk_id, min(pos) as q from (select case_id, aspect * 1000000 + pos as pos, chunk_id from w where length(chunk_id) >= 6 union all select distinct case_id, 5, 'seen before' from w) group by 1, 2),
+n as (select w.case_id, w.aspect, w.chunk_id, min(w.pos) as pos from w join k on w.case_id = k.case_id and w.chunk_id = k.chunk_id group by 1, 2, 3),
+u as (select case_id, chunk_id, case when row_number() over (partition by case_id, aspect order by pos, chunk_id) = 1 then 0 else 1 end as late, aspect as a, pos as q from n union all select case_id, chunk_id, 2, 0, q from k),
+f as (select * from (select *, row_number() over (partition by case_id, chunk_id order by late, a, q) as r from u) where r = 1)
+select case_id, chunk_id, cast(row_number() over (partition by case_id order by late, a, q, chunk_id) as int) as place from f""", pre=False)
+def kept_chunk_priority(d, o, c, spark, sf_dir):
+    turns = corpus.table(spark, sf_dir, "conversations")
+    words = turns.select(F.col("conv_id").alias("case_id"), F.col("turn").alias("aspect"), F.posexplode(F.split("text", " ")).alias("pos", "chunk_id")).withColumn("pos", F.col("pos") + 1)
+    kept = words.filter(F.length("chunk_id") >= 6).select("case_id", (F.col("aspect").cast("long") * 1000000 + F.col("pos")).alias("pos"), "chunk_id")
+    seen = words.select("case_id").distinct().select("case_id", F.lit(5).cast("long").alias("pos"), F.lit("seen before").alias("chunk_id"))
+    return investigation.kept_priority(kept.unionByName(seen), words)
+
+
+@query(_UNITS + """
+, once as (select answer_id, unit, cited, min(p) as p, count(*) as copies from (select answer_id, p, unit, cited from units union all select answer_id, p + 100000, unit, cited from units where p % 2 = 0) group by 1, 2, 3)
+select answer_id, cast(p as int) as p, copies, cast((row_number() over (partition by answer_id order by p) - 1) // 5 as int) as batch from once
+""", pre=False)
+def claim_batches(d, o, c, spark, sf_dir):
+    units = answers.factual_units(_answers(spark, sf_dir)).withColumnRenamed("unit", "claim")
+    return investigation.claim_batches(units.unionByName(units.filter("p % 2 = 0").withColumn("p", F.col("p") + 100000)))
+
+
+@query("select project, count(*) as claims, count(*) filter (v = 0) as supported, count(*) filter (v = 1) as unsupported, count(*) filter (v = 2) as contradicted, count(*) filter (v = 3) as uncertain, count(*) filter (v = 0) = count(*) as passed from (select project, case when project = 'P1' then 0 else doc_id % 4 end as v from docs) group by 1")
+def verdict_counts(d, o, c, spark, sf_dir):
+    verdict = F.when(F.col("project") == "P1", "supported").otherwise(corpus.pick(F.col("doc_id"), ("supported", "unsupported", "contradicted", "uncertain")))
+    return investigation.verdict_counts(d.select("project", verdict.alias("verdict")), "project")
+
+
+@query("""
+, m as (select repository_id, branch, doc_id, commit_sha from occ union all select repository_id, 'release', doc_id, commit_sha from occ where branch = 'main')
+, n as (select repository_id, commit_sha, count(distinct doc_id) as documents, count(distinct branch) > 1 as shared_commit from m group by 1, 2)
+select distinct m.repository_id, m.commit_sha, m.branch, documents, shared_commit from m join n on m.repository_id = n.repository_id and m.commit_sha = n.commit_sha
+""")
+def branch_sync(d, o, c, spark, sf_dir):
+    own = o.select("repository_id", "branch", "doc_id", "commit_sha")
+    return investigation.branch_sync(own.unionByName(own.filter("branch = 'main'").withColumn("branch", F.lit("release"))))
+
+
+@query("""
+, f as (select format, case when size_bytes > 1500 then 'file_too_large' else 'included' end as reason, string_split(path, '/')[1] as top, size_bytes from docs)
+select dimension, value, count(*) as files, cast(sum(size_bytes) as bigint) as bytes from (select 'format' as dimension, format as value, size_bytes from f union all select 'reason', reason, size_bytes from f union all select 'top', top, size_bytes from f) group by 1, 2
+""")
+def inventory_rollups(d, o, c, spark, sf_dir):
+    reason = F.when(F.col("size_bytes") > 1500, "file_too_large").otherwise("included")
+    return investigation.inventory_rollups(d.select("format", reason.alias("reason"), F.substring_index("path", "/", 1).alias("top"), "size_bytes"))
+
+
+@query("select doc_id, path, case when format = 'txt' then 'unknown' else format end as format, case when doc_id % 3 = 0 then 'arquivo' else project end as title, case when doc_id % 4 = 0 then 'text' else 'code' end as kind, doc_id % 9 <> 0 as valid from (select doc_id, case when doc_id % 9 = 0 then '' else path end as path, format, project from docs)")
+def load_projection(d, o, c, spark, sf_dir):
+    i = F.col("doc_id")
+    raw = d.select("doc_id", F.when(i % 9 == 0, "").otherwise(F.col("path")).alias("path"), F.when(F.col("format") != "txt", F.col("format")).alias("format"), F.when(i % 3 == 0, "").otherwise(F.col("project")).alias("title"), F.when(i % 4 != 0, "code").alias("kind"))
+    return investigation.load_rows(raw)

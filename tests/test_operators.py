@@ -120,3 +120,23 @@ def test_no_query_returns_what_is_not_allowed(spark, name):
     for r in QUERIES[name](spark, sf).collect():
         ids = [r[c] for c in ("doc_id", "target_doc", "other") if c in r and r[c] not in (None, -1)] + [int(str(r["chunk_id"]).split(":")[0]) for _ in range("chunk_id" in r)]
         assert {classes[i] for i in ids} <= {"public", "lab"}
+
+
+def test_investigation(spark):
+    from lodestone.operators import investigation as i
+
+    aspects = spark.createDataFrame([(1, 0, 1, "a"), (1, 0, 2, "b"), (1, 0, 3, "x"), (1, 1, 1, "b"), (1, 1, 2, "c"), (2, 0, 1, "x")], "case_id int, aspect int, pos int, chunk_id string")
+    kept = spark.createDataFrame([(1, 1, "d"), (1, 2, "c"), (1, 3, "b"), (1, 4, "a"), (1, 5, "d"), (2, 1, "e")], "case_id int, pos int, chunk_id string")
+    assert [tuple(r) for r in i.kept_priority(kept, aspects).orderBy("case_id", "place").collect()] == [(1, "a", 1), (1, "b", 2), (1, "c", 3), (1, "d", 4), (2, "e", 1)]
+    steps = spark.createDataFrame([("find_callers", "o", "r"), ("open_related", "o", "o"), ("search_text", "o", "r"), ("find_callees", "", "r"), ("open_related", "o", None)], "tool string, origin string, result string")
+    (edge,) = i.traversal_edges(steps).collect()
+    assert (edge.source, edge.target, edge.kind, edge.directed, len(edge.edge_id)) == ("chunk:r", "chunk:o", "calls", True, 25)
+    results = spark.createDataFrame([("A", None), ("A", "main"), ("B", None), ("B", "dev"), (None, "dev")], "project string, branch string")
+    scopes = spark.createDataFrame([("A", None), ("A", "main"), ("B", "dev")], "project string, branch string")
+    assert sorted(map(str, i.in_scope(results, scopes).collect())) == sorted(map(str, results.filter("project = 'A' or branch = 'dev' and project = 'B'").collect()))
+    rows = spark.createDataFrame([("A", "supported"), ("A", "supported"), ("B", None), ("C", "uncertain")], "who string, verdict string")
+    assert {r.who: r.passed for r in i.verdict_counts(rows, "who").collect()} == {"A": True, "B": False, "C": False}
+    (batch,) = i.claim_batches(spark.createDataFrame([(1, 4, "x", "S1"), (1, 2, "x", "S1")], "answer_id int, p int, claim string, cited string")).collect()
+    assert tuple(batch) == (1, 2, 2, 0)
+    loaded = i.load_rows(spark.createDataFrame([(1, "p", None, "", "k"), (None, "p", "md", "t", None)], "doc_id int, path string, format string, title string, kind string")).collect()
+    assert [tuple(r) for r in loaded] == [(1, "p", "unknown", "arquivo", "k", True), (None, "p", "md", "t", "text", False)]
