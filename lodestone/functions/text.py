@@ -49,7 +49,18 @@ def citation_ids(text: Column) -> Column:
 
 
 def bounded(text: Column, most: int, marker: str = "\n[...]\n") -> Column:
-    """A text of at most `most` characters: three fifths from its head, a mark, the rest from its tail."""
+    """A text of at most `most` characters: three fifths from its head, a mark, the rest from its tail.
+
+    The head ends at its last line end, the tail begins after its first one, unless that costs over half of it. Without room for the mark it is cut.
+    """
     room = most - len(marker)
-    head = room * 3 // 5
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substring(text, 1, head), F.lit(marker), text.substr(F.length(text) - (room - head) + 1, F.lit(room - head))))
+    if room <= 2:
+        return F.substring(text, 1, most)
+    head_size = max(1, room * 3 // 5)
+    tail_size = max(1, room - head_size)
+    head, tail = F.substring(text, 1, head_size), text.substr(F.length(text) - tail_size + 1, F.lit(tail_size))
+    whole = F.length(head) - F.length(F.substring_index(head, "\n", -1)) - 1  # characters before the last line end
+    begun = F.instr(tail, "\n")
+    head = F.when(whole >= head_size // 2, head.substr(F.lit(1), whole)).otherwise(head)
+    tail = F.when((begun > 0) & (begun - 1 <= tail_size // 2), tail.substr(begun + 1, F.lit(tail_size))).otherwise(tail)
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(head, F.lit(marker), tail))

@@ -26,6 +26,30 @@ def traversal_edges(steps: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.lit("edge:"), F.substring(identity, 1, 20)).alias("edge_id"), *ends, per_tool(0).alias("kind"), per_tool(2).alias("directed"), "tool")
 
 
+def bounded_graph(results: DataFrame, sources: DataFrame, edges: DataFrame, most_nodes: int = 24, most_edges: int = 36) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of each case to be shown: case_id, chunk_id, place; case_id, edge_id, source, target.
+
+    results are (case_id, chunk_id), sources (case_id, pos, chunk_id), edges (case_id, pos, edge_id, source, target). Edges between known
+    chunks, each id once, go in by pos up to most_edges; nodes are the sources, then the edges' ends, up to most_nodes; edges that lose an end go.
+    """
+    known = results.select("case_id", "chunk_id").union(sources.select("case_id", "chunk_id")).distinct()
+
+    def within(e: DataFrame, nodes: DataFrame) -> DataFrame:
+        for end in ("source", "target"):
+            e = e.join(nodes.select("case_id", F.col("chunk_id").alias(end)), ["case_id", end], "left_semi")
+        return e
+
+    def top(rows: DataFrame, order: list[str], most: int) -> DataFrame:
+        return rows.withColumn("place", F.row_number().over(Window.partitionBy("case_id").orderBy(*order))).filter(F.col("place") <= most)
+
+    walked = top(first_by(within(edges, known), ["case_id", "edge_id"], [F.col("pos")]), ["pos", "edge_id"], most_edges)
+    end = lambda name, k: walked.select("case_id", F.col(name).alias("chunk_id"), F.lit(1).alias("_late"), F.col("pos").alias("_at"), F.lit(k).alias("_end"))
+    shown = sources.select("case_id", "chunk_id", F.lit(0).alias("_late"), F.col("pos").alias("_at"), F.lit(0).alias("_end"))
+    order = ["_late", "_at", "_end"]
+    nodes = top(first_by(shown.unionByName(end("source", 0)).unionByName(end("target", 1)), ["case_id", "chunk_id"], [F.col(c) for c in order]), [*order, "chunk_id"], most_nodes)
+    return nodes.select("case_id", "chunk_id", "place"), within(walked, nodes).select("case_id", "edge_id", "source", "target")
+
+
 def in_scope(results: DataFrame, scopes: DataFrame) -> DataFrame:
     """Results (project, branch, ...) that one of the scopes (project, branch) admits; a scope without a branch admits each of its project's."""
     s = scopes.select(F.col("project").alias("_p"), F.col("branch").alias("_b"))

@@ -556,7 +556,11 @@ def context_budget(d, o, c, spark, sf_dir):
     return answers.pack(top.select(F.row_number().over(Window.orderBy(F.desc("score"), "path", "line")).alias("pos"), "chunk_id", F.length("text").alias("n_chars")), 1000, 80)
 
 
-@query("select doc_id, case when length(text) <= 200 then text else substr(text, 1, 115) || chr(10) || '[...]' || chr(10) || right(text, 78) end as text from docs")
+@query("""
+, b as (select doc_id, text, substr(text, 1, 115) as h, right(text, 78) as t from docs)
+, n as (select *, case when contains(h, chr(10)) then length(h) - strpos(reverse(h), chr(10)) else -1 end as e, strpos(t, chr(10)) as s from b)
+select doc_id, case when length(text) <= 200 then text else (case when e >= 57 then substr(h, 1, e) else h end) || chr(10) || '[...]' || chr(10) || (case when s > 0 and s - 1 <= 39 then substr(t, s + 1) else t end) end as text from n
+""")
 def bounded_text(d, o, c, spark, sf_dir):
     return d.select("doc_id", bounded(F.col("text"), 200).alias("text"))
 
@@ -830,3 +834,28 @@ def load_projection(d, o, c, spark, sf_dir):
     i = F.col("doc_id")
     raw = d.select("doc_id", F.when(i % 9 == 0, "").otherwise(F.col("path")).alias("path"), F.when(F.col("format") != "txt", F.col("format")).alias("format"), F.when(i % 3 == 0, "").otherwise(F.col("project")).alias("title"), F.when(i % 4 != 0, "code").alias("kind"))
     return investigation.load_rows(raw)
+
+
+@query("""
+, kn as (select distinct repository_id as case_id, chunk_id from chunks where access_class in ('public', 'lab'))
+, so as (select repository_id as case_id, doc_id as pos, chunk_id from chunks where access_class in ('public', 'lab') and format = 'md' and line = 1)
+, nx as (select repository_id as case_id, doc_id * 100000 + line as pos, chunk_id as source, lead(chunk_id) over (partition by doc_id order by line) as target from chunks)
+, ed as (select *, row_number() over (partition by case_id order by pos, source || '>' || target) as r from nx where exists (select 1 from kn where kn.case_id = nx.case_id and kn.chunk_id = nx.source) and exists (select 1 from kn where kn.case_id = nx.case_id and kn.chunk_id = nx.target))
+, wa as (select * from ed where r <= 36)
+, un as (select case_id, chunk_id, 0 as late, pos, 0 as e from so union all select case_id, source, 1, pos, 0 from wa union all select case_id, target, 1, pos, 1 from wa)
+, fi as (select * from (select *, row_number() over (partition by case_id, chunk_id order by late, pos, e) as r from un) where r = 1)
+, nd as (select * from (select case_id, chunk_id, row_number() over (partition by case_id order by late, pos, e, chunk_id) as place from fi) where place <= 24)
+select case_id, 'node' as item, chunk_id as item_id, cast(place as int) as place from nd
+union all select case_id, 'edge', source || '>' || target, 0 from wa where exists (select 1 from nd where nd.case_id = wa.case_id and nd.chunk_id = wa.source) and exists (select 1 from nd where nd.case_id = wa.case_id and nd.chunk_id = wa.target)
+""")
+def bounded_graph(d, o, c, spark, sf_dir):
+    from pyspark.sql import Window
+
+    seen = access.allowed(c, ("public", "lab"))
+    case = F.col("repository_id").alias("case_id")
+    following = F.lead("chunk_id").over(Window.partitionBy("doc_id").orderBy("line"))
+    walked = c.select(case, (F.col("doc_id") * 100000 + F.col("line")).alias("pos"), F.col("chunk_id").alias("source"), following.alias("target")).filter("target is not null")
+    sources = seen.filter("format = 'md' and line = 1").select(case, F.col("doc_id").alias("pos"), "chunk_id")
+    nodes, edges = investigation.bounded_graph(seen.select(case, "chunk_id"), sources, walked.withColumn("edge_id", F.concat("source", F.lit(">"), "target")))
+    shown = nodes.select("case_id", F.lit("node").alias("item"), F.col("chunk_id").alias("item_id"), "place")
+    return shown.unionByName(edges.select("case_id", F.lit("edge").alias("item"), F.col("edge_id").alias("item_id"), F.lit(0).alias("place")))

@@ -140,3 +140,30 @@ def test_investigation(spark):
     assert tuple(batch) == (1, 2, 2, 0)
     loaded = i.load_rows(spark.createDataFrame([(1, "p", None, "", "k"), (None, "p", "md", "t", None)], "doc_id int, path string, format string, title string, kind string")).collect()
     assert [tuple(r) for r in loaded] == [(1, "p", "unknown", "arquivo", "k", True), (None, "p", "md", "t", "text", False)]
+
+
+def test_bounded_text_and_graph(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.functions.text import bounded
+    from lodestone.operators.investigation import bounded_graph
+
+    texts = ["", "short", "a" * 50, "ab\n" * 30, "x" * 16 + "\n" + "y" * 60 + "\n" + "z" * 3, "\n" + "q" * 70, None]
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(bounded(F.col("t"), 40, "<>")).collect()]
+    for t, out in zip(texts, got):
+        if t is None or len(t) <= 40:
+            assert out == t
+            continue
+        head, tail = t[:22], t[-16:]
+        if "\n" in head and head.rindex("\n") >= 11:
+            head = head[: head.rindex("\n")]
+        if "\n" in tail and tail.index("\n") <= 8:
+            tail = tail[tail.index("\n") + 1 :]
+        assert out == head + "<>" + tail
+    results = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (1, "d")], "case_id int, chunk_id string")
+    sources = spark.createDataFrame([(1, 1, "b")], "case_id int, pos int, chunk_id string")
+    edges = spark.createDataFrame([(1, 1, "e1", "a", "b"), (1, 2, "e2", "b", "c"), (1, 2, "e1", "a", "b"), (1, 3, "e3", "c", "gone"), (1, 4, "e4", "c", "d")], "case_id int, pos int, edge_id string, source string, target string")
+    nodes, kept = bounded_graph(results, sources, edges, 3, 2)
+    assert [r.chunk_id for r in nodes.orderBy("place").collect()] == ["b", "a", "c"]
+    assert sorted(r.edge_id for r in kept.collect()) == ["e1", "e2"]
+    assert sorted(r.edge_id for r in bounded_graph(results, sources, edges, 2, 9)[1].collect()) == ["e1"]
