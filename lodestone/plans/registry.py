@@ -8,31 +8,13 @@ from pyspark.sql import functions as F
 from lodestone.functions.ids import slug, stable_id, tied
 from lodestone.functions import ids, text
 from lodestone.functions.text import bounded, citation_ids, leaf_name
+from lodestone.plans.base import QUERIES, SQL, query  # noqa: F401  the registered ones
 from lodestone.operators import access, answers, chunking, graph, investigation, rollups, search
 from lodestone.sources import corpus
-from lodestone.sources.corpus import SQL as PRE
 
 QUERY, TERM, VECTOR = "that thble", "thble", 0
 SEED_LIMIT = 10
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, pre: bool = True):
-    """Registers a function of (docs, occurrences, chunks, spark, sf_dir)."""
-
-    def add(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            d = corpus.documents(spark, sf_dir)
-            return f(d, corpus.occurrences(d), corpus.chunks(d), spark, sf_dir)
-
-        QUERIES[f.__name__] = run
-        if sql:
-            SQL[f.__name__] = (PRE + sql) if pre else sql
-        return f
-
-    return add
 
 
 def _count(needle: str) -> str:
@@ -859,3 +841,6 @@ def bounded_graph(d, o, c, spark, sf_dir):
     nodes, edges = investigation.bounded_graph(seen.select(case, "chunk_id"), sources, walked.withColumn("edge_id", F.concat("source", F.lit(">"), "target")))
     shown = nodes.select("case_id", F.lit("node").alias("item"), F.col("chunk_id").alias("item_id"), "place")
     return shown.unionByName(edges.select("case_id", F.lit("edge").alias("item"), F.col("edge_id").alias("item_id"), F.lit(0).alias("place")))
+
+
+from lodestone.plans import loads  # noqa: E402, F401  register their queries
