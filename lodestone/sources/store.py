@@ -96,3 +96,10 @@ class Store:
         for p in gone:
             fs.delete(p, True)
         return len(gone)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to a scratch folder and read back: what comes after doesn't compute it again, nor after the loss of an executor."""
+    folder = scratch(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
