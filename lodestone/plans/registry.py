@@ -843,4 +843,4 @@ def bounded_graph(d, o, c, spark, sf_dir):
     return shown.unionByName(edges.select("case_id", F.lit("edge").alias("item"), F.col("edge_id").alias("item_id"), F.lit(0).alias("place")))
 
 
-from lodestone.plans import fulltext, history, investigations, loads  # noqa: E402, F401  register their queries
+from lodestone.plans import evidence, fulltext, history, investigations, loads  # noqa: E402, F401  register their queries
