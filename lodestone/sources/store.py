@@ -71,6 +71,15 @@ class Store:
         rows.withColumns({"_scope": F.col(scope), "_folder": F.lit(folder)}).write.parquet(f"{self.root}/data/{folder}")
         return folder
 
+    def append(self, name: str, rows: DataFrame, scope: str, run: int) -> int:
+        """Add rows to a table beside what it has, in one commit; their number."""
+        base = self.version()
+        folder = self.write(rows, scope)
+        own = self.spark.read.parquet(f"{self.root}/data/{folder}").groupBy(F.col("_scope").cast("string").alias("scope")).agg(F.count("*").alias("rows"))
+        lines = own.select(F.lit(name).alias("name"), "scope", F.lit(folder).alias("folder"), F.lit(run).cast("long").alias("run"), F.lit(None).cast("string").alias("digest"), "rows")
+        self.commit(self.live(base).union(lines), base)
+        return own.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+
     def commit(self, live: DataFrame, base: int) -> int:
         """Make `live` the version after `base`; fails if there is one already."""
         name = uuid.uuid4().hex
