@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.ids import stable_id, tied
-from lodestone.functions.text import C_FAMILY, leaf_name, masked_code, parent, stem
+from lodestone.functions.text import leaf_name, parent, stem
 from lodestone.operators.access import allowed, most_restrictive
 from lodestone.operators.rollups import first_by
 
@@ -18,25 +18,6 @@ def symbol_islands(chunks: DataFrame) -> DataFrame:
     return rows.withColumns({"name": leaf_name(F.col("title")), "symbol_id": stable_id("doc_id", "kind", "title", "line_start")})
 
 
-#: Kind of reference, formats, pattern with the target as its group.
-REFERENCES = (
-    ("includes", ("cpp", "cpp_header"), r'^\s*#\s*include\s*[<"]([^>"]+)[>"]'),
-    ("uses_module", ("fortran",), r"^\s*(?:use|USE)\s+([A-Za-z_][A-Za-z0-9_]*)"),
-    ("imports", ("python",), r"^\s*(?:import|from)\s+([A-Za-z_][A-Za-z0-9_.]*)"),
-    ("adds_directory", ("cmake",), r"^\s*add_subdirectory\s*\(\s*([^\s)]+)"),
-    ("sources", ("shell",), r"^\s*(?:source|\.)\s+([^\s;]+)"),
-)
-
-
-def references(lines: DataFrame) -> DataFrame:
-    """References of code lines (doc_id, format, line, text), each target once a document, at its first line."""
-    kind, target = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name, formats, pattern in REFERENCES:
-        own = F.col("format").isin(*formats) & (F.regexp_extract("text", pattern, 1) != "")
-        kind, target = F.when(own, name).otherwise(kind), F.when(own, F.regexp_extract("text", pattern, 1)).otherwise(target)
-    return lines.select("doc_id", "line", kind.alias("kind"), target.alias("target")).filter("target is not null").groupBy("doc_id", "kind", "target").agg(F.min("line").alias("line"))
-
-
 def resolve_paths(refs: DataFrame, docs: DataFrame) -> DataFrame:
     """The document whose path ends in the target, if it is the only one; targets with $ never resolve."""
     parts = F.split("path", "/")
@@ -56,91 +37,6 @@ def companions(docs: DataFrame, occurrences: DataFrame, sources=("cpp",), header
     return shared.groupBy("source_doc", "header_doc").agg(F.first(most_restrictive(F.col("_source_doc"), F.col("_header_doc"))).alias("access_class"), F.array_join(F.array_sort(F.collect_set("branch")), ",").alias("branches"))
 
 
-def code_lines(files: DataFrame) -> DataFrame:
-    """doc_id, path, format, line, text and masked (the line without comments and literals) of files (doc_id, path, format, text)."""
-    both = F.arrays_zip(F.split("text", "\n").alias("t"), F.split(masked_code(F.col("text"), F.col("format")), "\n").alias("m"))
-    return files.select("doc_id", "path", "format", F.posexplode(both).alias("_k", "_x")).select("doc_id", "path", "format", (F.col("_k") + 1).alias("line"), F.col("_x.t").alias("text"), F.col("_x.m").alias("masked"))
-
-
-#: What begins a named part of code, by formats: kind, pattern with the name as its last group (and the kind as its first, where it is None).
-_END = r"\s*\([^;]*\)\s*(?:const\s*)?(?:noexcept\s*)?(?:override\s*)?(?:final\s*)?(?:\{|$)"
-ANCHORS = (
-    (C_FAMILY, "type", r"^\s*(?:class|struct|enum(?:\s+class)?)\s+([A-Za-z_]\w*)"),
-    (C_FAMILY, "function", r"^\s*([~A-Za-z_]\w*(?:::\w+)+)" + _END),
-    (C_FAMILY, "function", r"^\s*(?:template\s*<.*>\s*)?(?:[A-Za-z_]\w*(?:::\w+)*(?:\s*[*&]+)?\s+)+([~A-Za-z_]\w*(?:::\w+)*)" + _END),
-    (("fortran",), None, r"(?i)^\s*(module|subroutine|function|program)\s+([A-Za-z_]\w*)"),
-    (("cmake",), None, r"(?i)^\s*(function|macro)\s*\(\s*([^\s)]+)"),
-    (("shell",), "function", r"^\s*(?:function\s+)?([A-Za-z_]\w*)\s*(?:\(\s*\))?\s*\{"),
-)
-CONTROL_WORDS = ("if", "for", "while", "switch", "catch")
-NO_ANCHOR = r"(?i)^\s*module\s+procedure\b"
-#: Words before a bracket that are no calls; kinds of anchors whose lines are looked at for calls.
-STOP_WORDS = ("alignof", "catch", "decltype", "defined", "do", "else", "for", "if", "return", "sizeof", "switch", "typeid", "while")
-CALLING = ("function", "program", "subroutine")
-CALL = r"\b([A-Za-z_]\w*(?:(?:::|->|\.)[A-Za-z_]\w*)*)\s*\("
-FORTRAN_CALL = r"(?i)\bcall\s+([A-Za-z_]\w*)"
-CALL_FORMATS = (*C_FAMILY, "fortran", "python")
-DEFINITION = r"(?i)^\s*(?:async\s+def|def|function|subroutine)\b"
-
-
-def anchors(lines: DataFrame) -> DataFrame:
-    """doc_id, line, title, kind of the lines at which a named part of code begins; the first pattern of a format that fits counts."""
-    found = []
-    for formats, kind, pattern in ANCHORS:
-        name = F.regexp_extract("text", pattern, 1 if kind else 2)
-        own = F.col("format").isin(*formats) & (name != "") & ~F.col("text").rlike(NO_ANCHOR)
-        found.append(F.when(own, F.struct(name.alias("title"), (F.lit(kind) if kind else F.lower(F.regexp_extract("text", pattern, 1))).alias("kind"))))
-    rows = lines.select("doc_id", "line", F.coalesce(*found).alias("a")).filter("a is not null").select("doc_id", "line", "a.title", "a.kind")
-    return rows.filter(~F.lower("title").isin(*CONTROL_WORDS))
-
-
-def leaf_of(target: Column) -> Column:
-    return F.lower(F.regexp_extract(target, r"([^:>.]+)$", 1))
-
-
-def call_tokens(lines: DataFrame) -> DataFrame:
-    """doc_id, line, target, leaf: called names in the functions, programs and subroutines of code_lines, each once a line.
-
-    A function's own name is no call where it is defined: before the body's first brace, or in a line that begins a definition.
-    """
-    calls = F.regexp_extract_all("masked", F.lit(CALL), F.lit(1))
-    calls = F.when(F.col("format") == "fortran", F.concat(F.regexp_extract_all("masked", F.lit(FORTRAN_CALL), F.lit(1)), calls)).otherwise(calls)
-    w = Window.partitionBy("doc_id").orderBy("line")
-    rows = lines.join(anchors(lines).select("doc_id", "line", "title", "kind"), ["doc_id", "line"], "left")
-    rows = rows.withColumns({"_part": F.count("title").over(w), "_own": F.lower(leaf_name(F.last("title", True).over(w))), "_kind": F.last("kind", True).over(w)})
-    part = Window.partitionBy("doc_id", "_part").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_began", ~F.col("format").isin(*C_FAMILY) | F.coalesce(F.max(F.col("masked").contains("{")).over(part), F.lit(False)))
-    rows = rows.filter(F.col("_kind").isin(*CALLING) & F.col("format").isin(*CALL_FORMATS))
-    out = rows.withColumn("target", F.explode(F.array_distinct(calls))).withColumn("leaf", leaf_of(F.col("target")))
-    brace, at = F.instr("masked", "{"), F.expr("instr(masked, target)")
-    defined = (F.col("leaf") == F.col("_own")) & ((~F.col("_began") & ((brace == 0) | (at < brace))) | F.col("masked").rlike(DEFINITION))
-    return out.filter(~F.col("leaf").isin(*STOP_WORDS) & ~defined).select("doc_id", "line", "target", "leaf")
-
-
-def terms(text: Column) -> Column:
-    """The distinct words of identifiers, of two letters or more, without m, self and this."""
-    parted = F.regexp_replace(F.regexp_replace(text, "([A-Z]+)([A-Z][a-z])", "$1 $2"), "([a-z0-9])([A-Z])", "$1 $2")
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(parted), F.lit("[a-z0-9]+"), F.lit(0)), lambda x: (F.length(x) >= 2) & ~x.isin("self", "this")))
-
-
-def call_candidates(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """calls (doc_id, line, target, leaf) with target_doc, qualified_name and resolution of each symbol (doc_id, qualified_name) that may be meant.
-
-    The ladder: symbols whose qualified name ends in the target, if it is qualified (exact_qualified); the only one of its name
-    (unique_name); those whose owner shares the largest part of its words with the receiver (receiver_hint); all (branch_unique).
-    """
-    s = symbols.select(F.col("doc_id").alias("target_doc"), "qualified_name", F.lower(leaf_name(F.col("qualified_name"))).alias("leaf"))
-    receiver = F.regexp_replace(F.regexp_extract("target", r"^(.*?)(?:::|->|\.)[^:>.]+$", 1), r"::|->|\.", " ")
-    owner = terms(F.regexp_extract("qualified_name", r"^(.*)::[^:]*$", 1))
-    part = F.try_divide(F.size(F.array_intersect(terms(receiver), owner)), F.size(owner))
-    call = Window.partitionBy("doc_id", "line", "target")
-    rows = calls.join(s, "leaf").withColumns({"_exact": F.col("target").contains("::") & F.lower("qualified_name").endswith(F.lower("target")), "_part": F.coalesce(part, F.lit(0.0))})
-    rows = rows.withColumns({"_any": F.max("_exact").over(call), "_n": F.count("*").over(call), "_most": F.max("_part").over(call)})
-    how = F.when(F.col("_any"), "exact_qualified").when(F.col("_n") == 1, "unique_name").when(F.col("_most") > 0, "receiver_hint").otherwise("branch_unique")
-    rows = rows.withColumn("resolution", how).filter((F.col("resolution") != "exact_qualified") | F.col("_exact")).filter((F.col("resolution") != "receiver_hint") | (F.col("_part") == F.col("_most")))
-    return rows.select("doc_id", "line", "target", "leaf", "target_doc", "qualified_name", "resolution")
-
-
 def resolve_calls(calls: DataFrame, symbols: DataFrame, occurrences: DataFrame) -> DataFrame:
     """For calls (doc_id, repository_id, leaf, line): candidates by name in the repository; then, for each of the source's branches, the one target that is there.
 

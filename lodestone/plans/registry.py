@@ -329,90 +329,6 @@ def symbol_islands(d, o, c, spark, sf_dir):
     return graph.symbol_islands(w)
 
 
-FILES = (
-    (1, "app/main.cpp", "cpp", '#include "engine/core.hpp"\n/* old( );\n * x * f(1)\n */\nint run()\n{ core->start(); Clock::tick(); helper(1);\n  // fake() and "fake("\n  if (x) done("call(2)", \'q(1)\', "a\\"b(3)"); run(); new_one(4);\n}\n#include "engine/core.hpp"'),
-    (2, "app/engine/core.cpp", "cpp", '#include "core.hpp"\nvoid Core::start(){ thing.go(); alphaGo.go(); }\nvoid Core::step() { Clock::tick(); sizeof(int); }\nvoid tools::Clock::tick() {}'),
-    (3, "app/engine/core.hpp", "cpp_header", "class Core { void start(); };\nenum class Mode { a };\nstruct Clock;"),
-    (4, "num/step.f90", "fortran", "module steps\nuse iso_c_binding\nsubroutine advance(x)\n  call helper(x) ! call never(1)\n  y = f(\'call no(1)\')\nend subroutine\nmodule procedure p"),
-    (5, "CMakeLists.txt", "cmake", "add_subdirectory(app)\nfunction(helper a)\nendfunction()\nMACRO( tool )"),
-    (6, "tools/env.sh", "shell", "source ${HOME}/lib.sh\nsetup() {\n  run\n}\nfunction stop {"),
-    (7, "tools/r.py", "python", "import os\nfrom engine.core import x"),
-    (8, "lib/alpha.cpp", "cpp", '#include "${DIR}/core.hpp"\nint AlphaGo::go() { return 1; }\nvoid Beta::go()\n{ go(); done(); }\nvoid done(int a) { }'),
-)
-_quoted = lambda x: str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-_FILES = "with files(doc_id, path, format, text) as (values " + ", ".join("(" + ", ".join(map(_quoted, row)) + ")" for row in FILES) + ")"
-_C = "format in ('c', 'cpp', 'cpp_header')"
-_CODE = _FILES + f"""
-, parts as (select *, string_split_regex(text, '{text.BLOCK_COMMENT}') as p, regexp_extract_all(text, '{text.BLOCK_COMMENT}') as g from files)
-, kept as (select doc_id, path, format, text, case when {_C} then array_to_string(list_transform(range(1, len(p) + 1), lambda k: p[k] || regexp_replace(coalesce(g[k], ''), '[^\n]', '', 'g')), '') else text end as t from parts)
-, bare as (select *, regexp_replace(t, {_quoted(text.LITERAL)}, '', 'g') as u from kept)
-, masked as (select *, case {" ".join(f"when format = '{f}' then regexp_replace(u, '{m}[^\n]*', '', 'g')" for f, m in text.LINE_COMMENT.items())} else u end as m from bare)
-, code as (select doc_id, path, format, cast(k as int) as line, string_split(text, chr(10))[k] as text, string_split(m, chr(10))[k] as masked from (select *, unnest(range(1, len(string_split(text, chr(10))) + 1)) as k from masked))
-, anchors as (select doc_id, line, a.title as title, a.kind as kind from (select doc_id, line, coalesce({", ".join(f"case when format in ({', '.join(map(repr, f))}) and regexp_extract(text, {_quoted(pat)}, {1 if k else 2}) <> '' and not regexp_matches(text, '{graph.NO_ANCHOR}') then {{'title': regexp_extract(text, {_quoted(pat)}, {1 if k else 2}), 'kind': {repr(k) if k else f'lower(regexp_extract(text, {_quoted(pat)}, 1))'}}} end" for f, k, pat in graph.ANCHORS)}) as a from code) where a is not null and lower(a.title) not in {graph.CONTROL_WORDS})
-"""
-_REFS = ", refs as (select doc_id, kind, target, min(line) as line from (" + " union all ".join(f"select doc_id, line, '{k}' as kind, regexp_extract(text, '{p}', 1) as target from code where format in ({', '.join(map(repr, f))})" for k, f, p in graph.REFERENCES) + ") where target <> '' group by 1, 2, 3)"
-
-
-def _code(spark):
-    return graph.code_lines(spark.createDataFrame(list(FILES), "doc_id long, path string, format string, text string"))
-
-
-@query(_CODE + "select doc_id, line, masked from code", pre=False)
-def masked_lines(d, o, c, spark, sf_dir):
-    return _code(spark).select("doc_id", "line", "masked")
-
-
-@query(_CODE + "select * from anchors", pre=False)
-def code_anchors(d, o, c, spark, sf_dir):
-    return graph.anchors(_code(spark))
-
-
-@query(_CODE + _REFS + " select * from refs", pre=False)
-def references_extract(d, o, c, spark, sf_dir):
-    return graph.references(_code(spark))
-
-
-@query(_CODE + _REFS + """
-, dd as (select distinct doc_id, path from code), sf as (select doc_id, array_to_string((string_split(path, '/'))[k:], '/') as s from (select *, unnest(range(1, len(string_split(path, '/')) + 1)) as k from dd))
-, u as (select s, min(doc_id) as target_doc from sf group by s having count(distinct doc_id) = 1)
-select r.doc_id, kind, target, line, coalesce(target_doc, -1) as target_doc from refs r left join u on u.s = regexp_replace(target, '^[./]+', '') and not contains(target, '$')
-""", pre=False)
-def reference_resolution(d, o, c, spark, sf_dir):
-    code = _code(spark)
-    return graph.resolve_paths(graph.references(code), code.select("doc_id", "path").distinct()).na.fill(-1, ["target_doc"])
-
-
-_CALLS = f"""
-, named as (select code.*, title, kind from code left join anchors using (doc_id, line))
-, w as (select *, count(title) over o as part, lower(trim(split_part(last_value(title ignore nulls) over o, '::', -1))) as own, last_value(kind ignore nulls) over o as k from named window o as (partition by doc_id order by line rows between unbounded preceding and current row))
-, b as (select *, not {_C} or coalesce(max(contains(masked, '{{')) over (partition by doc_id, part order by line rows between unbounded preceding and 1 preceding), false) as began from w)
-, t as (select *, unnest(list_distinct(case when format = 'fortran' then list_concat(regexp_extract_all(masked, '{graph.FORTRAN_CALL}', 1), regexp_extract_all(masked, '{graph.CALL}', 1)) else regexp_extract_all(masked, '{graph.CALL}', 1) end)) as target from b where k in {graph.CALLING} and format in {graph.CALL_FORMATS})
-, u as (select *, lower(regexp_extract(target, '([^:>.]+)$', 1)) as leaf, instr(masked, '{{') as brace, instr(masked, target) as col from t)
-, calls as (select doc_id, line, target, leaf from u where leaf not in {graph.STOP_WORDS} and not coalesce(leaf = own and ((not began and (brace = 0 or col < brace)) or regexp_matches(masked, '{graph.DEFINITION}')), false))
-"""
-
-
-@query(_CODE + _CALLS + "select * from calls", pre=False)
-def call_tokens(d, o, c, spark, sf_dir):
-    return graph.call_tokens(_code(spark))
-
-
-_terms = lambda x: f"list_distinct(list_filter(regexp_extract_all(lower(regexp_replace(regexp_replace({x}, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[a-z0-9]+'), lambda x: length(x) >= 2 and x not in ('self', 'this')))"
-
-
-@query(_CODE + _CALLS + f"""
-, sym as (select doc_id as target_doc, title as qualified_name, lower(trim(split_part(title, '::', -1))) as leaf from anchors where kind in ('function', 'macro', 'subroutine'))
-, x as (select *, contains(target, '::') and ends_with(lower(qualified_name), lower(target)) as exact, {_terms("regexp_replace(regexp_extract(target, '^(.*?)(?:::|->|\\.)[^:>.]+$', 1), '::|->|\\.', ' ', 'g')")} as r, {_terms("regexp_extract(qualified_name, '^(.*)::[^:]*$', 1)")} as o from calls join sym using (leaf))
-, y as (select *, case when len(o) = 0 then 0.0 else len(list_intersect(r, o)) / len(o) end as part from x)
-, z as (select *, max(exact) over w as any_exact, count(*) over w as n, max(part) over w as most from y window w as (partition by doc_id, line, target))
-select doc_id, line, target, leaf, target_doc, qualified_name, case when any_exact then 'exact_qualified' when n = 1 then 'unique_name' when most > 0 then 'receiver_hint' else 'branch_unique' end as resolution from z where case when any_exact then exact when n = 1 then true when most > 0 then part = most else true end
-""", pre=False)
-def call_candidates(d, o, c, spark, sf_dir):
-    lines = _code(spark)
-    symbols = graph.anchors(lines).filter("kind in ('function', 'macro', 'subroutine')").withColumnRenamed("title", "qualified_name")
-    return graph.call_candidates(graph.call_tokens(lines), symbols)
-
-
 _scoped = "((project = 'P1' and branch = 'main') or project = 'P3')"
 
 
@@ -843,4 +759,4 @@ def bounded_graph(d, o, c, spark, sf_dir):
     return shown.unionByName(edges.select("case_id", F.lit("edge").alias("item"), F.col("edge_id").alias("item_id"), F.lit(0).alias("place")))
 
 
-from lodestone.plans import caches, evidence, fulltext, history, investigations, loads  # noqa: E402, F401  register their queries
+from lodestone.plans import caches, evidence, fulltext, history, investigations, loads, sourcecode  # noqa: E402, F401  register their queries
