@@ -123,7 +123,13 @@ def term_rarity(chunks: DataFrame) -> DataFrame:
 
 #: Phrases that give the indexed projects out as all there are.
 OVERCLAIMS = r"\b(projetos principais|principais projetos|unicos projetos|main projects|principal projects|only projects|complete set of projects)\b"
-SENTENCE_END = r"([.!?])(?:\s+(\[\s*S\d+\s*(?:[,;]\s*S\d+\s*)*\]))?(?:\s+([`*_>(\[]*[A-ZÀ-ÖØ-Þ0-9])|$)"
+#: What begins a sentence, and the steps that put each on a line: citations behind a stop are tied to it, stops cut, ties undone.
+_BEGIN, _TIE = r"[`*_>(\[]*[A-ZÀ-ÖØ-Þ0-9]", "\x1f"
+SENTENCES = (
+    (r"([.!?])\s+(\[\s*S\d[S\d,;\s]*\])(\s+" + _BEGIN + "|$)", f"\\1{_TIE}\\2\\3"),
+    (f"([.!?](?:{_TIE}[^\\]]*\\])?)\\s+({_BEGIN})", "\\1\n\\2"),
+    (_TIE, " "),
+)
 
 
 def overclaims(text: Column) -> Column:
@@ -134,7 +140,10 @@ def overclaims(text: Column) -> Column:
 
 def atomic_claims(units: DataFrame) -> DataFrame:
     """unit_id, p, claim: the sentences of units (unit_id, text). Where only the last one has citations, all others inherit them."""
-    parts = F.filter(F.transform(F.split(F.regexp_replace("text", SENTENCE_END, "$1 $2\n$3"), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    cut = F.col("text")
+    for pattern, to in SENTENCES:
+        cut = F.regexp_replace(cut, pattern, to.replace("\\", "$"))
+    parts = F.filter(F.transform(F.split(cut, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     ids = lambda x: citation_ids(x)
     rows = units.select("unit_id", F.when(F.size(parts) > 0, parts).otherwise(F.array(F.trim("text"))).alias("parts"))
     rows = rows.withColumns({"_last": F.array_sort(F.array_distinct(ids(F.element_at("parts", -1)))), "_cited": F.size(F.filter("parts", lambda x: F.size(ids(x)) > 0))})

@@ -409,24 +409,25 @@ def embedding_backlog(d, o, c, spark, sf_dir):
     return rollups.backlog(d, corpus.vectors(spark, sf_dir)).select("doc_id", F.sha2(text, 256).alias("input_hash"))
 
 
-QUESTIONS = (
-    (1, "Give an overview of P1"), (2, "What is the difference between P0 and P3?"), (3, "Where is thble defined?"), (4, "How does the flow work?"), (5, "thble list"), (6, "Compare the architecture of P2 and P4"),
-)
-_Q = "q(question_id, question) as (values " + ", ".join(f"({i}, '{t}')" for i, t in QUESTIONS) + ")"
+#: A user's turn is a question: what begins it goes by the turn, the project that it names, if any, by the conversation.
+_BEGIN = ("Give an overview of ", "Compare ", "Where is ", "How does it work in ", "List ", "Which file has ", "What is the difference to ")
+_Q = "q as (select conv_id * 1000 + turn as question_id, case (conv_id + turn) % 7 " + " ".join(f"when {k} then '{t}'" for k, t in enumerate(_BEGIN)) + " end || case when conv_id % 3 = 0 then '' else 'P' || conv_id % 7 || ' ' end || coalesce(text, '') as question from conversations where role = 'user')"
 
 
-def _questions(spark):
-    return spark.createDataFrame(list(QUESTIONS), "question_id int, question string")
+def _questions(spark, sf_dir):
+    t = corpus.table(spark, sf_dir, "conversations").filter("role = 'user'")
+    named = F.when(F.col("conv_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("P"), F.col("conv_id") % 7, F.lit(" ")))
+    return t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.concat(corpus.pick(F.col("conv_id") + F.col("turn"), _BEGIN), named, F.coalesce("text", F.lit(""))).alias("question"))
 
 
 @query(f"with {_Q} select question_id, case " + " ".join(f"when regexp_matches(lower(question), '{p}') then '{n}'" for n, p in answers.INTENTS) + " else 'direct' end as intent from q", pre=False)
 def intent_classification(d, o, c, spark, sf_dir):
-    return _questions(spark).select("question_id", answers.intent(F.col("question")).alias("intent"))
+    return _questions(spark, sf_dir).select("question_id", answers.intent(F.col("question")).alias("intent"))
 
 
 @query(f", {_Q}" + ", n as (select question_id, string_agg(distinct project, ',' order by project) as projects from (select question_id, unnest(regexp_split_to_array(lower(question), '[^a-z0-9]+')) as w from q) join (select distinct project from docs) on lower(project) = w group by 1) select q.question_id, coalesce(projects, '*') as projects, case when projects is null then 'broad' else 'projects' end as mode from q left join n on q.question_id = n.question_id")
 def scope_resolution(d, o, c, spark, sf_dir):
-    return answers.scopes(_questions(spark), d)
+    return answers.scopes(_questions(spark, sf_dir), d)
 
 
 @query("select repository_id, case when max(case when branch = 'feature/x' then 1 else 0 end) = 1 then 'feature/x' else min(branch) filter (where canonical) end as branch, case when max(case when branch = 'feature/x' then 1 else 0 end) = 1 then 'configured' when min(branch) filter (where canonical) is not null then 'canonical' else 'none' end as status from occ group by 1")
@@ -630,6 +631,12 @@ def structure_sources(d, o, c, spark, sf_dir):
 _SAID = "said as (select conv_id * 1000 + turn as unit_id, coalesce(text, '') || case when turn % 2 = 0 then ' See this. (And) that! 7 more [S' || (turn % 3 + 1) || ', S1].' else ' All main, projects? Not so. [S3] The Principais  projetos' end as text from conversations)"
 
 
+def _sentences(text: str) -> str:
+    for pattern, to in answers.SENTENCES:
+        text = f"regexp_replace({text}, '{pattern}', '{to}', 'g')"
+    return text
+
+
 def _said(spark, sf_dir):
     t = corpus.table(spark, sf_dir, "conversations")
     end = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" See this. (And) that! 7 more [S"), F.col("turn") % 3 + 1, F.lit(", S1]."))).otherwise(" All main, projects? Not so. [S3] The Principais  projetos")
@@ -637,7 +644,7 @@ def _said(spark, sf_dir):
 
 
 @query(f"""with {_SAID}
-, s as (select unit_id, text, list_filter(list_transform(string_split(regexp_replace(text, '{answers.SENTENCE_END}', '\\1 \\2' || chr(10) || '\\3', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') as parts from said)
+, s as (select unit_id, text, list_filter(list_transform(string_split({_sentences('text')}, chr(10)), lambda x: trim(x)), lambda x: x <> '') as parts from said)
 , t as (select unit_id, case when len(parts) > 0 then parts else [trim(text)] end as parts from s)
 , u as (select *, list_sort(list_distinct({_IDS_OF("parts[-1]")})) as tail, len(list_filter(parts, lambda x: len(regexp_extract_all(x, {_CITE})) > 0)) as n from t)
 , v as (select unit_id, len(parts) > 1 and n = 1 and len(tail) > 0 as inherits, ' [' || array_to_string(tail, ', ') || ']' as suffix, unnest(parts) as claim, unnest(range(0, len(parts))) as p from u)
