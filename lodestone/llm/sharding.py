@@ -13,7 +13,8 @@ A manifest version is a file that must not exist when it is created, and whose l
 table of runs. Readers take the highest whole version. Data folders have unique names, and what no version lists doesn't count, so
 that a writer lost between data and manifest leaves nothing behind that matters.
 
-Rows of a null doc_id are dealt by their texts' digests to arrivals of negative numbers; a null text has no bytes; repeated
+An append's arrivals are numbered after all earlier ones, so that small appends are merged with each other. Rows of a null doc_id are dealt
+by their texts' digests to NULLS arrivals before those of the ids, in a first append of negative numbers; a null text has no bytes; repeated
 rows stay, and equal ones that a file's end would part go to the later file together; an empty table adds no runs; other columns,
 whatever their names, are kept in the shards.
 """
@@ -131,10 +132,13 @@ class ShardStore:
         """Writes the arrivals of docs as small shards, without moving rows between tasks; arrival numbers go on after those of earlier appends."""
         now, name = self.manifest.latest(), f"data-{uuid.uuid4().hex}"
         runs = self.runs(now)
-        base = (runs.agg(F.max("seq")).first()[0] or -1) // CHUNK + 1 if now["runs"] else 0
+        last, base = runs.agg(F.max("seq")).first()[0], 0
+        if last is not None:  # all numbers of this append, those of null and negative ids too, come after all there are
+            least = docs.agg(F.min("doc_id")).first()[0] or 0
+            base = last + 1 + max(NULLS, -(least // self.per_arrival))
         text = F.coalesce(F.col("text"), F.lit(""))
         nameless = -1 - F.conv(F.substring(F.md5(text), 1, 3), 16, 10).cast("long") % NULLS
-        arrival = F.coalesce(F.floor(F.col("doc_id") / self.per_arrival), nameless).cast("long") + base * CHUNK
+        arrival = F.coalesce(F.floor(F.col("doc_id") / self.per_arrival), nameless).cast("long") + base
         rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), arrival.alias("arrival"))
         rows.select("doc", "arrival", F.col("arrival").alias("run"), F.concat(F.lit("a-"), "arrival").alias("shard")).write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
         schema = docs.schema.json()
@@ -144,20 +148,20 @@ class ShardStore:
         return self._commit(runs.unionByName(new), [*now["folders"], name], schema, now["version"])
 
     def placed(self, rows: DataFrame, plan: DataFrame) -> DataFrame:
-        """rows (doc, arrival, run) with the merged run (tier, into) of plan and the file there."""
+        """rows (doc, arrival, run, folder) with the merged run (tier, into) of plan (folder, run) and the file there."""
         size = F.coalesce(F.octet_length("doc.text"), F.lit(0)).cast("long")
         key = F.struct(F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.sha2(F.coalesce("doc.text", F.lit("")), 256).alias("digest"))
-        sizes = rows.select("arrival", "run", size.alias("size"), key.alias("key")).groupBy("arrival", "run", "key").agg(F.sum("size").alias("size"))
-        arrivals = sizes.groupBy("arrival", "run").agg(F.sum("size").alias("bytes")).join(plan, "run")
+        sizes = rows.select("folder", "arrival", "run", size.alias("size"), key.alias("key")).groupBy("folder", "arrival", "run", "key").agg(F.sum("size").alias("size"))
+        arrivals = sizes.groupBy("folder", "arrival", "run").agg(F.sum("size").alias("bytes")).join(plan, ["folder", "run"])
         earlier = Window.partitionBy("into").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)  # CHUNK arrivals at most
-        arrivals = arrivals.select("arrival", "tier", "into", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("before"))
-        within = Window.partitionBy("arrival").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+        arrivals = arrivals.select("folder", "arrival", "tier", "into", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("before"))
+        within = Window.partitionBy("folder", "arrival").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
         sizes = sizes.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
-        files = sizes.join(arrivals, "arrival").withColumn("file", F.floor((F.col("before") + F.col("within")) / self.target).cast("long"))
-        begins = files.groupBy("arrival", "tier", "into", "file").agg(F.min("key").alias("key"))
-        begins = begins.groupBy(F.col("arrival").alias("_arrival"), "tier", "into").agg(F.min("file").alias("_first"), F.sort_array(F.collect_list(F.struct("key", "file"))).alias("_begins"))  # an item for TARGET_BYTES
+        files = sizes.join(arrivals, ["folder", "arrival"]).withColumn("file", F.floor((F.col("before") + F.col("within")) / self.target).cast("long"))
+        begins = files.groupBy("folder", "arrival", "tier", "into", "file").agg(F.min("key").alias("key"))
+        begins = begins.groupBy("folder", "arrival", "tier", "into").agg(F.min("file").alias("_first"), F.sort_array(F.collect_list(F.struct("key", "file"))).alias("_begins"))  # an item for TARGET_BYTES
         begins = written(begins.withColumn("_begins", F.filter("_begins", lambda x: x["file"] > F.col("_first"))))
-        rows = rows.join(begins, F.col("arrival") == F.col("_arrival"))
+        rows = rows.join(begins, ["folder", "arrival"])
         return rows.withColumn("file", F.coalesce(F.get(F.reverse(F.filter("_begins", lambda x: x["key"] <= key)), F.lit(0))["file"], "_first"))
 
     def compact(self) -> dict:
@@ -175,7 +179,7 @@ class ShardStore:
         moved = plan.filter("tier <> was").select(F.col("seq").alias("run"), F.col("folder").alias("_folder"), "tier", F.col("run").alias("into"))
         name = f"data-{uuid.uuid4().hex}"
         live = self._data(now, taken).select("doc", "arrival", "run", "folder").join(moved.select(F.col("run").alias("_run"), "_folder"), (F.col("run") == F.col("_run")) & (F.col("folder") == F.col("_folder")), "left_semi")
-        rows = self.placed(live.select("doc", "arrival", "run"), moved.select("run", "tier", "into"))
+        rows = self.placed(live.select("doc", "arrival", "run", "folder"), moved.select(F.col("_folder").alias("folder"), "run", "tier", "into"))
         shard = F.concat_ws("-", F.lit("t"), "tier", "into", "file")
         rows = rows.select("doc", "arrival", F.col("into").alias("run"), shard.alias("shard"))
         rows.repartition("shard").sortWithinPartitions("shard", "doc.doc_id").withColumn("file", F.col("shard")).write.option("compression", "zstd").partitionBy("file").parquet(f"{self.folder}/{name}")
@@ -184,6 +188,15 @@ class ShardStore:
         stay = {r.folder for r in left.select("folder").distinct().collect()}
         return self._commit(left.unionByName(merged), [*(f for f in now["folders"] if f in stay), name], now["schema"], now["version"])
 
+    def vacuum(self, keep_versions: int = 1) -> int:
+        """Deletes the data folders that none of the last whole versions lists; how many. Not while a writer is at work."""
+        whole = [found for v in reversed(self.manifest.versions()) if (found := self.manifest._read(v))][:keep_versions]
+        listed = {name for found in whole for name in found["folders"]}
+        gone = [s.getPath() for s in self.manifest.fs.listStatus(self.manifest.path(self.folder)) if s.getPath().getName().startswith("data-") and s.getPath().getName() not in listed]
+        for path in gone:
+            self.manifest.fs.delete(path, True)
+        return len(gone)
+
     def read(self) -> DataFrame:
         """doc (the document's columns) and shard, as the committed manifest lists them."""
         now = self.manifest.latest()
