@@ -91,6 +91,7 @@ def complements(chunks: DataFrame, seeds: DataFrame, policy: Policy = Policy(),
 
     A path's hint goes before a directory's, the deepest directory's before a symbol's. Chunks of seeds are left out.
     """
+    seeds = seeds.orderBy("rank", "chunk_id").limit(policy.candidates)  # so that what is broadcast below has a bound
     rows = allowed(chunks, classes).join(F.broadcast(seeds.select("chunk_id")), "chunk_id", "left_anti")
     p = path_hints(seeds, policy).select("path", F.struct(F.lit(0).alias("step"), F.lit(0).alias("deep"), "rank", F.col("path").alias("name"), "reason", "strength").alias("h"))
     d = directory_hints(seeds, policy).select(F.col("root"), F.struct(F.lit(1).alias("step"), (-F.size(F.split("root", "/"))).alias("deep"), "rank", F.col("root").alias("name"), F.lit("directory_bundle").alias("reason"), "strength").alias("h"))

@@ -67,9 +67,10 @@ def full_text_search(chunks: DataFrame, occurrences: DataFrame, query: str, limi
     return rows.withColumn("score", tied(score)).orderBy(F.desc("score"), "path", "line").limit(limit)
 
 
-def neighborhood(chunks: DataFrame, targets: DataFrame, radius: int = 2, classes=("public", "lab")) -> DataFrame:
-    """For each target (doc_id, target_line): the 2 * radius + 1 chunks of its document, if it is allowed, that are nearest by line."""
-    near = allowed(chunks, classes).join(targets, "doc_id").withColumn("distance", F.abs(F.col("line") - F.col("target_line")))
+def neighborhood(chunks: DataFrame, targets: DataFrame, radius: int = 2, classes=("public", "lab"), occurrences: DataFrame | None = None, **scope) -> DataFrame:
+    """For each target (doc_id, target_line): the 2 * radius + 1 chunks of its document, if it is allowed and in scope, that are nearest by line."""
+    seen = allowed(chunks, classes)
+    near = (seen if occurrences is None else scoped(seen, occurrences, **scope)).join(targets, "doc_id").withColumn("distance", F.abs(F.col("line") - F.col("target_line")))
     w = Window.partitionBy("doc_id", "target_line").orderBy("distance", "line")
     return near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 2 * radius + 1).withColumn("score", (1000 - F.col("r")).cast("double"))
 
@@ -86,12 +87,23 @@ def in_scope(rows: DataFrame, scopes: list[tuple[str, str | None]], path_prefix:
     return rows if path_prefix is None else rows.filter(F.col("path").startswith(path_prefix))
 
 
-def by_ids(chunks: DataFrame, ids: list[str], classes=("public", "lab")) -> DataFrame:
-    """Chunks by a list of at most 200 ids, in its order."""
+def scoped(rows: DataFrame, occurrences: DataFrame, scopes: list[tuple[str, str | None]] | None = None, branch: str | None = None, path_prefix: str | None = None) -> DataFrame:
+    """rows (doc_id, project, path, ...) with the preferred occurrence of their document (of a branch, if one is named), where scopes and path admit it.
+
+    A document without an occurrence there has no row.
+    """
+    rows = rows if path_prefix is None else rows.filter(F.col("path").startswith(path_prefix))
+    rows = rows.join(preferred_occurrence(occurrences, branch), "doc_id")
+    return rows if scopes is None else in_scope(rows, scopes)
+
+
+def by_ids(chunks: DataFrame, ids: list[str], classes=("public", "lab"), occurrences: DataFrame | None = None, **scope) -> DataFrame:
+    """Chunks by a list of at most 200 ids, in its order, where access and scope still admit them."""
     if len(ids) > 200:
         raise ValueError("at most 200 ids")
     at = F.array_position(F.array(*[F.lit(i) for i in ids]), F.col("chunk_id"))
-    return allowed(chunks, classes).filter(F.col("chunk_id").isin(*ids)).withColumn("ordinal", at.cast("int")).withColumn("score", (1000 - F.col("ordinal")).cast("double"))
+    rows = allowed(chunks, classes).filter(F.col("chunk_id").isin(*ids))
+    return (rows if occurrences is None else scoped(rows, occurrences, **scope)).withColumn("ordinal", at.cast("int")).withColumn("score", (1000 - F.col("ordinal")).cast("double"))
 
 
 def cosine(vector: Column, query: list[float]) -> Column:
@@ -100,9 +112,11 @@ def cosine(vector: Column, query: list[float]) -> Column:
     return dot(vector, q) / F.sqrt(dot(vector, vector)) / F.lit(sum(x * x for x in query) ** 0.5)
 
 
-def nearest(vectors: DataFrame, documents: DataFrame, query: list[float], limit: int, classes=("public", "lab")) -> DataFrame:
-    """Exact nearest neighbours by cosine among the vectors of allowed documents: one scan and a top-k per task."""
-    seen = vectors.join(allowed(documents, classes).select("doc_id"), "doc_id", "left_semi")
+def nearest(vectors: DataFrame, documents: DataFrame, query: list[float], limit: int, classes=("public", "lab"), occurrences: DataFrame | None = None, **scope) -> DataFrame:
+    """Exact nearest neighbours by cosine among the vectors of documents that are allowed and in scope: one scan and a top-k per task."""
+    admitted = allowed(documents, classes)
+    admitted = admitted if occurrences is None else scoped(admitted, occurrences, **scope)
+    seen = vectors.join(admitted.select("doc_id"), "doc_id", "left_semi")
     return seen.withColumn("score", tied(cosine(F.col("embedding"), query))).orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
