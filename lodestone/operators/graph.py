@@ -96,9 +96,12 @@ def relation_summary(relations: DataFrame) -> DataFrame:
     return relations.groupBy("resolution").agg(F.count("*").alias("relations"), F.countDistinct("doc_id").alias("sources"), F.count("target_doc").alias("resolved"))
 
 
-def search_map(symbols: DataFrame, relations: DataFrame, limit: int = 10) -> DataFrame:
-    """One ranked list (score, result_type, item_id, path, line) of found symbols and relations."""
+def search_map(symbols: DataFrame, relations: DataFrame, limit: int = 10, result_type: str = "any") -> DataFrame:
+    """One ranked list (score, result_type, item_id, path, line) of found symbols and relations, or of one of these types."""
+    if result_type not in ("any", "symbol", "relation"):
+        raise ValueError(f"no such type: {result_type}")
     both = symbols.select("score", F.lit("symbol").alias("result_type"), "item_id", "path", "line").unionByName(relations.select("score", F.lit("relation").alias("result_type"), "item_id", "path", "line"))
+    both = both if result_type == "any" else both.filter(F.col("result_type") == result_type)
     return both.orderBy(F.desc("score"), "path", "line", "item_id").limit(limit)
 
 

@@ -340,7 +340,7 @@ def scope_filter(d, o, c, spark, sf_dir):
 
 @query(_REL + """
 , s as (select case when lower(qualified_name) = 'the' then 20.0 when lower(name) = 'the' then 16.0 else 8.0 end as score, 'symbol' as result_type, 's' || doc_id as item_id, path, line from sym where access_class in ('public', 'lab') and contains(lower(qualified_name), 'the'))
-, r as (select case when lower(leaf) = 'the' then 20.0 else 8.0 end as score, 'relation' as result_type, 'r' || r.doc_id || ':' || line || ':' || leaf || ':' || coalesce(target_doc, -1) as item_id, path, line from rel r join docs d on r.doc_id = d.doc_id where access_class in ('public', 'lab') and contains(lower(leaf), 'the'))
+, r as (select case when lower(leaf) = 'the' then 20.0 else 8.0 end as score, 'relation' as result_type, 'r' || r.doc_id || ':' || line || ':' || leaf || ':' || coalesce(case when t.access_class in ('public', 'lab') then target_doc end, -1) as item_id, d.path, line from rel r join docs d on r.doc_id = d.doc_id left join docs t on t.doc_id = r.target_doc where d.access_class in ('public', 'lab') and contains(lower(leaf), 'the'))
 select * from (select * from s union all select * from r) order by score desc, path, line, item_id limit 10
 """)
 def semantic_map_search(d, o, c, spark, sf_dir):
@@ -348,6 +348,7 @@ def semantic_map_search(d, o, c, spark, sf_dir):
     s = access.allowed(_symbols(c), ("public", "lab")).filter(F.lower("qualified_name").contains(q))
     s = s.select(F.when(F.lower("qualified_name") == q, 20.0).when(F.lower("name") == q, 16.0).otherwise(8.0).alias("score"), F.concat(F.lit("s"), "doc_id").alias("item_id"), "path", "line")
     r = _relations(o, c).filter(F.lower("leaf").contains(q)).join(seen, "doc_id")
+    r = r.join(seen.select(F.col("doc_id").alias("target_doc"), F.lit(True).alias("_open")), "target_doc", "left").withColumn("target_doc", F.when(F.col("_open"), F.col("target_doc")))
     r = r.select(F.when(F.lower("leaf") == q, 20.0).otherwise(8.0).alias("score"), F.concat(F.lit("r"), "doc_id", F.lit(":"), "line", F.lit(":"), "leaf", F.lit(":"), F.coalesce("target_doc", F.lit(-1))).alias("item_id"), "path", "line")
     return graph.search_map(s, r)
 
