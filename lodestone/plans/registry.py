@@ -767,4 +767,4 @@ def bounded_graph(d, o, c, spark, sf_dir):
     return shown.unionByName(edges.select("case_id", F.lit("edge").alias("item"), F.col("edge_id").alias("item_id"), F.lit(0).alias("place")))
 
 
-from lodestone.plans import caches, context, evidence, fulltext, history, investigations, ledgers, loads, sourcecode  # noqa: E402, F401  register their queries
+from lodestone.plans import caches, context, evidence, fulltext, history, investigations, ledgers, loads, notebooks, sourcecode  # noqa: E402, F401  register their queries
