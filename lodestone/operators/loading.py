@@ -75,7 +75,7 @@ def load(store: Store, run: int, tables: dict[str, tuple[DataFrame, list[str]]],
             first, last = F.col("first_run") == run, F.col("updated_run") == run
             written = spark.read.parquet(f"{store.root}/data/{folder}").groupBy(F.col("_key_scope").alias("scope")).agg(n(first).alias("inserted"), n(last & ~first).alias("updated"), n(~last).alias("unchanged"))
             had = before.filter(F.col("name") == name).select("scope", F.col("rows").alias("had"))
-            count = changed.join(written, "scope", "left").join(had, "scope", "left").na.fill(0)
+            count = changed.join(written, "scope", "left").join(had, "scope", "left").na.fill(0).filter("inserted + updated + unchanged + had > 0")
             count = count.select("scope", F.lit(name).alias("name"), F.lit(False).alias("reused"), "inserted", "updated", "unchanged", (F.col("had") - F.col("updated") - F.col("unchanged")).alias("deleted"))
             counts = count if counts is None else counts.union(count)
             line = staged.filter(F.col("name") == name).join(changed, "scope", "left_semi")

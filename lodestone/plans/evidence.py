@@ -94,7 +94,7 @@ select conv_id, 'forbidden_answer_phrases', not contains(answer, 'zzz') and not
 select conv_id, 'grounding_status', valid = n from r where conv_id % 2 = 0 union all
 select conv_id, 'allowed_grounding_statuses', true from r where conv_id % 2 = 1 union all
 select conv_id, 'no_such_check', null from r)
-select conv_id as case_id, name as "check", ok as passed, case when ok is null then 'unknown' end as problem from c
+select conv_id as case_id, name as "check", coalesce(ok, false) as passed, case when ok is null then 'unknown' end as problem from c
 """)
 def answer_expectations(d, o, c, spark, sf_dir):
     t = corpus.table(spark, sf_dir, "conversations")
@@ -112,4 +112,4 @@ def answer_expectations(d, o, c, spark, sf_dir):
     more = [F.struct(F.lit(k).alias("check"), F.lit(None).cast("string").alias("want"), F.expr(v).alias("wants")) for k, v in _WANTS.items()]
     rules = r.select("conv_id", F.explode(F.array(*one, *more)).alias("x")).select(F.col("conv_id").alias("case_id"), "x.*")
     rules = rules.filter("not (check = 'grounding_status' and case_id % 2 = 1) and not (check = 'allowed_grounding_statuses' and case_id % 2 = 0)")
-    return evidence.expectation_checks(responses, rules)
+    return evidence.expectation_checks(responses, rules).na.fill(False, ["passed"])

@@ -51,13 +51,13 @@ reach as (select head, head as commit from h union select head, parent from reac
 c as materialized (select commit from reach where head = (select head from h where branch = (select min(user_id) from e))),
 s as (select head, count(*) filter (c.commit is null) as ahead, count(c.commit) as shared, arg_max(c.commit, t) as merge_base from reach left join c using (commit) join e on event_id = commit group by head)
 select branch, head as commit, case when head = (select head from h where branch = (select min(user_id) from e)) then 'same_commit' when shared = 0 then 'unrelated' when ahead = 0 then 'merged' when shared = (select count(*) from c) then 'ahead' else 'diverged' end as relation,
-       ahead, (select count(*) from c) - shared as behind, merge_base, ahead = 0 as merged_into_canonical
+       ahead, (select count(*) from c) - shared as behind, coalesce(merge_base, -1) as merge_base, ahead = 0 as merged_into_canonical
 from h join s using (head)
 """, pre=False)
 def commit_comparison(d, o, c, spark, sf_dir):
     known, parents, heads = _history(spark, sf_dir)
     first = heads.orderBy("branch").limit(1).collect()
-    return commits.compare(heads, first[0].commit if first else None, known, parents)
+    return commits.compare(heads, first[0].commit if first else None, known, parents).na.fill(-1, ["merge_base"])
 
 
 @query(_HISTORY + """
