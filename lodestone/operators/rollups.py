@@ -36,9 +36,9 @@ def exclusion_reason(path: Column, size: Column, most: int = 2 * 1024 * 1024) ->
 
 
 def glob_regex(pattern: str) -> str:
-    """A glob whose star crosses directories, as a regex."""
-    out = fnmatch.translate(pattern)
-    return "^" + re.sub(r"^\(\?s:(.*)\)\\[zZ]$", r"\1", out).replace("(?s:", "(?:") + "$"
+    """A glob whose star crosses directories, as a regex; *([0-9]), as in a shell's extended globs, is any number of characters of a class."""
+    plain = lambda glob: re.sub(r"^\(\?s:(.*)\)\\[zZ]$", r"\1", fnmatch.translate(glob)).replace("(?s:", "(?:")
+    return "^" + "".join(plain(x) + "*" * (k % 2) for k, x in enumerate(re.split(r"\*\((\[[^]]+\])\)", pattern))) + "$"
 
 
 def glob_policy(rows: DataFrame, include: list[str], exclude: list[str]) -> DataFrame:
