@@ -46,7 +46,11 @@ ROUNDS = (1, 8)
 SLOTS, PARTS = 1 << 20, 64
 #: 64-bit words of a set's bitmap that goes with its groups, and of the one that pairs are looked up in.
 BITS, WIDE = 8, 64
+#: Groups of a node that a row of it goes with, so that pairs are not made again in each group that they share.
+EARLIER = 16
 SMALL = 2
+#: Buckets of signatures for each partition of the documents; a worker sorts one.
+BUCKETS = 2
 _G = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -347,20 +351,25 @@ def link_nodes(groups: DataFrame, sets: DataFrame, percent: int, rounds: tuple[i
 
 
 def rare_pairs(members: DataFrame, sets: DataFrame, percent: int, n: int) -> DataFrame:
-    """Pairs (node, other) of members (node, comp, n, bits) that are apart, share one of their cheapest shingles and may be similar."""
-    found = _groups(_dealt_cheapest(sets, percent, n).repartition(n, "bucket")).distinct().join(members, "node")
+    """Pairs (node, other) of members (node, comp, n, bits) that are apart, share one of their cheapest shingles and may be similar.
+
+    Each row goes with its node's last EARLIER groups before it: a pair that shares one of these has met there, or in one before, and
+    is not made again. So sets that share many of their cheapest shingles meet about once, and always in the first group of both.
+    """
+    before = Window.partitionBy("node").orderBy("grp").rowsBetween(-EARLIER, -1)
+    found = _groups(_dealt_cheapest(sets, percent, n).repartition(n, "bucket")).distinct().join(members, "node").withColumn("earlier", F.collect_list("grp").over(before))
     sizes = found.groupBy("grp", "comp").count().groupBy("grp").agg(F.max_by("comp", F.struct("count", "comp")).alias("_most"), F.count("*").alias("_comps"))
     found = found.join(sizes.filter("_comps > 1").select("grp", "_most"), "grp")  # a group's largest component is not compared with itself
-    right = found.select("grp", F.col("node").alias("other"), F.col("comp").alias("_comp"), F.col("n").alias("_n"), F.col("bits").alias("_bits"))
+    right = found.select("grp", F.col("node").alias("other"), F.col("comp").alias("_comp"), F.col("n").alias("_n"), F.col("bits").alias("_bits"), F.col("earlier").alias("_earlier"))
     pairs = found.filter("comp <> _most").join(right, "grp").filter("comp <> _comp and (_comp = _most or node < other)")
-    return pairs.filter(_maybe("bits", "n", "_bits", "_n", percent)).select("node", "other")
+    return pairs.filter(f"{_maybe('bits', 'n', '_bits', '_n', percent)} and not arrays_overlap(earlier, _earlier)").select("node", "other")
 
 
 def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """near_duplicates of docs whose doc_id is never null and has one text."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    n = partitions_for(docs)
+    n = BUCKETS * partitions_for(docs)
     each = written(document_sets(docs, words))
     nodes = written(each.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")))
     groups = _groups(_dealt_signatures(docs, words, percent, n).repartition(n, "bucket")).distinct()
