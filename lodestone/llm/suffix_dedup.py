@@ -40,6 +40,10 @@ REACH = WINDOW - ANCHOR
 NEAR = REACH // 2
 #: Window starts that are looked at together in one long document; bytes of text that are, of short ones.
 SEGMENT = BLOCK = 500_000
+#: Buckets of digits for each partition of the documents; a worker sorts one, in some ten times its bytes.
+BUCKETS = 3
+#: Suffixes that are ordered together (or those of one digit): each is looked at as the NEAR + 1 windows around its digit.
+SUFFIXES = 20_000
 ANCHOR_TYPE = np.dtype([("h", "<u8"), ("c", "<u8"), ("d", "<i8"), ("p", "<i8")])
 SPAN_TYPE = np.dtype([("d", "<i8"), ("a", "<i8"), ("b", "<i8")])
 
@@ -267,20 +271,29 @@ def _same(own: np.ndarray, row: np.ndarray, k: np.ndarray, other: np.ndarray, ne
     return out
 
 
-def equal_suffixes(x: np.ndarray) -> np.ndarray:
-    """SPAN_TYPE spans of all but the first of equal windows, from SUFFIX_TYPE rows."""
-    out, table = [np.zeros(0, SPAN_TYPE)], byte_table(5)
-    for side, (a, _, need) in enumerate(SIDES):
-        own = x[x["side"] == side]
-        own = own[np.argsort(own["g"], kind="stable")]
-        same = own["g"][1:] == own["g"][:-1]
+def _by_digit(x: np.ndarray):
+    """(side, rows) of SUFFIX_TYPE rows whose digit others have too, about SUFFIXES at a time; a digit's rows stay together."""
+    for side in range(len(SIDES)):
+        own = np.flatnonzero(x["side"] == side)
+        own = own[np.argsort(x["g"][own], kind="stable")]
+        g = x["g"][own]
+        same = g[1:] == g[:-1]
         several = np.zeros(len(own), bool)
         several[1:] |= same
         several[:-1] |= same
-        own = own[several]
+        own, g = own[several], g[several]
+        at = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(own) else np.zeros(0, np.int64)
+        at = at[np.unique(at // SUFFIXES, return_index=True)[1]].tolist()
+        for a, b in zip(at, [*at[1:], len(own)]):
+            yield side, x[own[a:b]]
+
+
+def equal_suffixes(x: np.ndarray) -> np.ndarray:
+    """SPAN_TYPE spans of all but the first of equal windows, from SUFFIX_TYPE rows."""
+    out, table = [np.zeros(0, SPAN_TYPE)], byte_table(5)
+    for side, own in _by_digit(x):
+        a, _, need = SIDES[side]
         own = own[np.lexsort((own["p"], own["d"]))]
-        if not len(own):
-            continue
         with np.errstate(over="ignore"):
             up = np.multiply.accumulate(np.full(need + 1, 0x9E3779B97F4A7C15, np.uint64))
             sums = []
@@ -335,7 +348,7 @@ def _covers(docs: DataFrame) -> DataFrame:
     """doc_id, covers of the documents that have any; of docs (doc_id, text) whose doc_id is never null and has one text."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    n = partitions_for(docs)
+    n = BUCKETS * partitions_for(docs)
     kinds = written(_by_document(_kinds(_first_pass(docs, n).repartition(n, "bucket"), n).repartition(n, "bucket")))
     asks = kinds.filter(F.length("asks") > 0).select(F.col("doc_id").alias("ask_id"), "asks")
     asked = docs.join(asks, F.col("doc_id") == F.col("ask_id"), "left").select("doc_id", "text", "asks")
