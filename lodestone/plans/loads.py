@@ -8,7 +8,7 @@ from lodestone.functions.ids import stable_id
 from lodestone.operators import loading
 from lodestone.plans import registry
 from lodestone.plans.base import query
-from lodestone.sources.store import Store, scratch
+from lodestone.sources.store import Store, cut, scratch
 
 #: The third run stages the repositories of even numbers, without one document in ten, and one in ten with other content.
 _EVEN, _GONE, _NEW = "cast(substr(repository_id, 4) as int) % 2 = 0", "cast(floor(doc_id / 20.0) as bigint) % 10 = 3", "cast(floor(doc_id / 20.0) as bigint) % 10 = 4"
@@ -71,6 +71,7 @@ def semantic_map_loads(d, o, c, spark, sf_dir):
     symbols = registry._symbols(c).select(stable_id("doc_id", "qualified_name", "line").alias("symbol_id"), "repository_id", "doc_id", "name", "line")
     relations = registry._relations(o, c).join(d.select("doc_id", "repository_id"), "doc_id")
     relations = relations.select(stable_id("doc_id", "line", "leaf", "resolution", F.coalesce("target_doc", F.lit(-1))).alias("relation_id"), "repository_id", "doc_id", "line", "leaf", "resolution", "target_doc", "branches")
+    symbols, relations = cut(symbols), cut(relations)  # each load reads them several times
     store = Store(spark, scratch(spark))
     loading.load(store, 1, {"symbols": (symbols, ["symbol_id"]), "relations": (relations, ["relation_id"])})
     renamed = symbols.withColumn("name", F.when(F.expr(_NEW), F.concat("name", F.lit("2"))).otherwise(F.col("name")))

@@ -251,17 +251,17 @@ _REL = _SYM + """
 
 
 def _symbols(c):
-    one = rollups.first_by(c, ["doc_id"], [F.col("line")])
-    name = F.trim(F.substring_index(F.substring_index("text", " ", 1), ".", 1))
-    return one.select("doc_id", "repository_id", "path", "access_class", name.alias("name"), F.concat("repository_id", F.lit("::"), name).alias("qualified_name"), "line")
+    name = F.trim(F.substring_index(F.substring_index("text", " ", 1), ".", 1))  # before the shuffle, which then leaves the lines' texts behind
+    one = rollups.first_by(c.select("doc_id", "repository_id", "path", "access_class", name.alias("name"), "line"), ["doc_id"], [F.col("line")])
+    return one.select("doc_id", "repository_id", "path", "access_class", "name", F.concat("repository_id", F.lit("::"), "name").alias("qualified_name"), "line")
 
 
 def _relations(o, c):
     from pyspark.sql import Window
 
-    later = c.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))).filter("_r > 1")
-    calls = later.select("doc_id", "repository_id", "line", F.substring_index(F.substring_index("text", " ", 1), ".", 1).alias("leaf"))
-    return graph.resolve_calls(calls, _symbols(c), o)
+    calls = c.select("doc_id", "repository_id", "line", F.substring_index(F.substring_index("text", " ", 1), ".", 1).alias("leaf"))
+    later = calls.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))).filter("_r > 1").drop("_r")
+    return graph.resolve_calls(later, _symbols(c), o)
 
 
 @query(_REL + "select * replace (coalesce(target_doc, -1) as target_doc) from rel")
